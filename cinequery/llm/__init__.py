@@ -1,0 +1,11 @@
+"""Training-data operators: exact top-k, secrets, chat formatting, sharding, dedup, classifiers, tokenising.
+
+Nothing outside this package imports it. Functions that run on executors are
+pickled by value, so a cluster needs no installed copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
