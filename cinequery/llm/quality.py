@@ -90,9 +90,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """Fits on bounded samples; the prior is the share of good among all labelled documents outside the held-out fold.
-
-    Without positives or documents the model gives the prior (0.5 if no labels).
+    """Fits on bounded samples; the prior is the share of good among all labelled documents outside the held-out fold, which are taken to be a fair sample
+    of the corpus. Without positives or documents the model gives the prior (0.5 if no labels).
     """
     known = allowed_labels(docs, labels, "quality", folds, held_out)
     n, good = known.agg(F.count("*"), F.sum("y")).first()
