@@ -1,5 +1,7 @@
 """All reference queries by name, with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .queries import ORACLES, QUERIES
+
 FLAGSHIP = "m7_kis_pipeline"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
