@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 BUCKET_BYTES = 16 << 20
-_ADDED = ("_bucket", "_tie", "_place")
+BROADCAST_BUCKETS = 1_000_000  # offsets broadcast, at most: some 16 MB
 
 
 def fisher_yates(n: int, rng: np.random.Generator) -> np.ndarray:
@@ -55,6 +55,8 @@ def shuffled_shards(records: DataFrame, size_column: str, key_columns: list[str]
     sizes = placed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     offsets = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_offset"))
     position = (F.col("_offset") + F.col("_place")).alias("_position")
+    if buckets <= BROADCAST_BUCKETS:  # else records move once more, to meet their bucket's offset
+        offsets = F.broadcast(offsets)
     small, larger = divmod(n, shards)  # the first `larger` shards have one record more
     cut = larger * (small + 1)
     first = F.col("_position") < cut
