@@ -10,7 +10,7 @@ offending sentences.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,37 +60,70 @@ class Model:
                 yield m.start(), m.end(), float(1 / (1 + np.exp(-z))) if abs(z) < 500 else float(z > 0)
 
 
+class _Bags:
+    """Sampled documents as numbers: words by sentence, sentences by document, and each word's features.
+
+    Texts and feature names are read one at a time and let go; only features
+    with enough documents keep their names.
+    """
+
+    def __init__(self, rows: list[tuple[str | None, int]]):
+        ids: dict[str, int] = {}
+        word, length, doc_of = array("i"), array("i"), array("i")
+        for k, (text, _) in enumerate(rows):
+            for s in SENTENCE.findall(text or ""):
+                words = set(WORD.findall(s.lower()))
+                if words:
+                    word.extend(ids.setdefault(w, len(ids)) for w in words)
+                    length.append(len(words))
+                    doc_of.append(k)
+        self.word = np.frombuffer(word, np.int32) if word else np.zeros(0, np.int32)
+        self.doc_of = np.frombuffer(doc_of, np.int32) if doc_of else np.zeros(0, np.int32)
+        self.of = np.repeat(np.arange(len(length), dtype=np.int32), np.frombuffer(length, np.int32) if length else 0)
+        in_doc = np.unique(self.doc_of[self.of].astype(np.int64) * max(len(ids), 1) + self.word)
+        doc, word_in_doc = np.divmod(in_doc, max(len(ids), 1))
+        self.n_words, self.names, self.kinds = len(ids), [], []
+        for k in (0, *STEMS):
+            kind: dict[str, int] = {}
+            of_word = np.fromiter((-1 if 0 < len(w) < k else kind.setdefault(w[:k] + "*" if k else w, len(kind)) for w in ids), np.int64, len(ids))
+            seen = of_word[word_in_doc]
+            pairs = np.unique(doc[seen >= 0] * max(len(kind), 1) + seen[seen >= 0])
+            df = np.bincount(pairs % max(len(kind), 1), minlength=len(kind))
+            new = np.where(df >= MIN_DOCUMENTS, np.cumsum(df >= MIN_DOCUMENTS) - 1 + len(self.names), -1)
+            self.kinds.append(np.where(of_word >= 0, new[of_word] if len(new) else -1, -1))
+            self.names += [name for name, i in kind.items() if df[i] >= MIN_DOCUMENTS]
+
+    def word_scores(self, weights: np.ndarray) -> np.ndarray:
+        """Each word's sum of its features' weights; feature -1 weighs 0."""
+        padded = np.append(weights, 0.0)
+        return sum((padded[k] for k in self.kinds), np.zeros(self.n_words))
+
+    def feature_sums(self, by_word: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.names) + 1)
+        for k in self.kinds:
+            out += np.bincount(np.where(k < 0, len(self.names), k), by_word, minlength=len(out))
+        return out[:-1]
+
+
 def fit(rows: list[tuple[str | None, int]], steps: int = 200, rate: float = 0.15, decay: float = 2e-4) -> Model:
     """Maximises the likelihood of document labels under the noisy-or, by Adam over all rows."""
-    bags = [[set(WORD.findall(s.lower())) for s in SENTENCE.findall(text or "")] for text, _ in rows]
-    of_word = {w: features(w) for bag in bags for words in bag for w in words}
-    df = Counter(f for bag in bags for f in {f for words in bag for w in words for f in of_word[w]})
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, n in df.items() if n >= MIN_DOCUMENTS))}
-    doc_of, of, word = [], [], []
-    for k, bag in enumerate(bags):
-        for words in bag:
-            if words:
-                hits = [vocabulary[f] for w in words for f in of_word[w] if f in vocabulary]
-                of += [len(doc_of)] * len(hits)
-                word += hits
-                doc_of.append(k)
-    doc_of, of, word = (np.array(x, np.int64) for x in (doc_of, of, word))
     y = np.array([t for _, t in rows], float)
+    bags = _Bags(rows)
     share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y) if len(y) else y
-    theta = np.zeros(len(vocabulary) + 1)
+    theta = np.zeros(len(bags.names) + 1)
     theta[-1] = -4.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1 if len(y) else 1):
-        z = np.bincount(of, theta[word], minlength=len(doc_of)) + theta[-1]
-        total = np.bincount(doc_of, np.logaddexp(0, z), minlength=len(y))  # -log of no toxic sentence
+        z = np.bincount(bags.of, bags.word_scores(theta[:-1])[bags.word], minlength=len(bags.doc_of)) + theta[-1]
+        total = np.bincount(bags.doc_of, np.logaddexp(0, z), minlength=len(y))  # -log of no toxic sentence
         none = np.exp(-total)
         by_doc = share * np.where(y > 0, -none / np.maximum(1 - none, 1e-9), 1.0) / len(y)
-        by_sentence = by_doc[doc_of] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(word, by_sentence[of], minlength=len(vocabulary)), by_sentence.sum())
+        by_sentence = by_doc[bags.doc_of] / (1 + np.exp(-z))
+        grad = np.append(bags.feature_sums(np.bincount(bags.word, by_sentence[bags.of], minlength=bags.n_words)), by_sentence.sum())
         grad[:-1] += decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return Model({w: float(theta[i]) for w, i in vocabulary.items() if abs(theta[i]) > 1e-4}, float(theta[-1]))
+    return Model({name: float(t) for name, t in zip(bags.names, theta[:-1].tolist(), strict=True) if abs(t) > 1e-4}, float(theta[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int = SAMPLE_PER_CLASS) -> Model:
