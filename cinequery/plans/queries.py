@@ -320,3 +320,42 @@ def m7_kis_pipeline(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH n AS (SELECT conv_id, turn, {SQUEEZED.format(t='text')} AS t FROM conversations) SELECT conv_id, turn, regexp_replace(t, '^mau ', '') AS answer FROM n")
 def x21_answer_match(spark: SparkSession, d: str) -> DataFrame:
     return tables.load(spark, d, "conversations").select("conv_id", "turn", evaluation.normalize_answer("text").alias("answer"))
+
+
+@query(f"""WITH {FRAMES}, {qvecs(*EVENTS3)}, {SCORED},
+  p AS (SELECT query_id, video_id, frame_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, video_id, frame_id) AS rn FROM scored QUALIFY rn <= 200)
+  SELECT video_id, frame_id, round(max(score), 6) AS score, string_agg('q' || query_id, ',' ORDER BY query_id) AS sources FROM p GROUP BY video_id, frame_id""")
+def j5_merge_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Recall lists of several sources, united and merged by key: best score, sources in their order."""
+    s = vector.scored(tables.frames(spark, d), tables.query_vectors(spark, d, list(EVENTS3)))
+    lists = vector.top_per_group(s, 200, ["query_id"], F.desc("score"), F.col("video_id"), F.col("frame_id"))
+    names = F.transform(F.array_sort(F.collect_list("query_id")), lambda q: F.concat(F.lit("q"), q.cast("string")))
+    return lists.groupBy("video_id", "frame_id").agg(F.round(F.max("score"), 6).alias("score"), F.array_join(F.array_distinct(names), ",").alias("sources"))
+
+
+QA = r"^(.*?)(?:câu\s*hỏi|question)\s*[:\-]\s*(.+)$"
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN text || chr(10) || 'Question: how many?' ELSE text END AS t FROM conversations)
+  SELECT conv_id, turn, trim(CASE WHEN regexp_matches(t, '(?is){QA}') THEN regexp_extract(t, '(?is){QA}', 1) ELSE t END, ' ' || chr(10)) AS event, trim(CASE WHEN regexp_matches(t, '(?is){QA}') THEN regexp_extract(t, '(?is){QA}', 2) ELSE t END, ' ' || chr(10)) AS question FROM c""")
+def x18_qa_split(spark: SparkSession, d: str) -> DataFrame:
+    """An event and its question, split at the marker; without one both are the whole text."""
+    c = tables.load(spark, d, "conversations")
+    t = F.when(F.col("turn") % 2 == 0, F.concat("text", F.lit("\nQuestion: how many?"))).otherwise(F.col("text"))
+    c = c.select("conv_id", "turn", t.alias("t"))
+    marked, strip = F.col("t").rlike(f"(?isu){QA}"), F.lit(" \n")
+    part = lambda k: F.btrim(F.when(marked, F.regexp_extract("t", f"(?isu){QA}", k)).otherwise(F.col("t")), strip)
+    return c.select("conv_id", "turn", part(1).alias("event"), part(2).alias("question"))
+
+
+@query("""WITH p AS (SELECT user_id AS query_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank, event_type AS answer, value FROM events QUALIFY rank <= 8),
+  s AS (SELECT query_id, answer, sum(value / (1 + 0.10 * greatest(rank - 1, 0))) AS support, min(rank) AS first FROM p GROUP BY ALL)
+  SELECT query_id, answer, round(support, 6) AS support FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(support, 9) DESC, first) = 1""")
+def a7_answer_consensus(spark: SparkSession, d: str) -> DataFrame:
+    """Of each query's first eight answers the one with most confidence, discounted by rank; ties go to the earlier."""
+    e = tables.load(spark, d, "events")
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id"))
+    p = e.select(F.col("user_id").alias("query_id"), rank.alias("rank"), evaluation.normalize_answer("event_type").alias("answer"), "value").filter("rank <= 8")
+    s = p.groupBy("query_id", "answer").agg(F.sum(F.col("value") / (1 + 0.10 * F.greatest(F.col("rank") - 1, F.lit(0)))).alias("support"), F.min("rank").alias("first"))
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("support", 9)), "first"))
+    return s.withColumn("n", best).filter("n = 1").select("query_id", "answer", r6("support"))
