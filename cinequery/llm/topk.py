@@ -2,11 +2,13 @@
 
 Vectors are quantised to integers and cut into shards; queries into blocks.
 Each (shard, block) pair is one bounded group. A shard's index holds, for each
-dimension, its postings in segments of falling quantised impact. For a query,
-segments of all dimensions are taken by falling impact |q_d| x level; a vector's
-accumulated score plus the levels still to come bounds it from above. Reading
-stops only once the bound of every vector outside a small set lies below the
-k-th best proven score; that set is then scored exactly.
+dimension, its postings in segments of falling value. For a query, a segment's
+quantised impact is the most that a posting in it can add to the score. Segments
+are taken by falling impact; every vector has an upper bound, made of the
+impacts read and, for dimensions still to come, the largest impact unread there.
+Reading stops only once the vectors whose bound reaches the k-th best exact score
+found so far are few; they are then scored exactly. Queries of a block share each
+pass, which is one matrix product of impacts and segment membership.
 """
 
 from __future__ import annotations
@@ -19,53 +21,80 @@ from pyspark.sql import functions as F
 from .common import project
 
 LEVELS = 16
+#: Shares of a query's segments read before each test for a proof; the last reads all.
+SHARES = (0.75, 1.0)
+#: Queries in one matrix product, and cells of the membership matrix held at once.
+TOGETHER, CELLS = 256, 1 << 23
 
 
 class ImpactIndex:
-    """Postings of one shard: per dimension, vectors by falling value in LEVELS segments (read backwards for negative weights)."""
+    """Postings of one shard: per dimension, vectors by falling value in LEVELS segments (taken backwards for negative weights)."""
 
     def __init__(self, vectors: np.ndarray, levels: int = LEVELS):
         self.vectors = vectors
         n, dims = vectors.shape
         order = np.argsort(-vectors, axis=0, kind="stable")
         cuts = np.unique(np.linspace(0, n, min(levels, n) + 1).astype(int))
-        self.segments = [[order[a:b, d] for a, b in zip(cuts[:-1], cuts[1:], strict=True)] for d in range(dims)]
-        firsts, lasts = cuts[:-1], cuts[1:] - 1
         columns = np.arange(dims)
-        self.top = vectors[order[firsts], columns]  # the largest value of each segment, levels x dims
-        self.bottom = vectors[order[lasts], columns]
-
-    def search(self, q: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-        """(rows, scores, segments read): every row that can be among the k best, `skip` (a mask) left out, with its exact score."""
+        self.top = vectors[order[cuts[:-1]], columns].astype(float)  # the largest value of each segment, levels x dims
+        self.bottom = vectors[order[cuts[1:] - 1], columns].astype(float)
+        self.segment = np.empty((n, dims), np.int32)  # of each posting, counted dimension by dimension
+        level = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        self.segment[order, columns] = level[:, None] + columns * len(self.top)
+
+    def search(self, q: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray, int]:
+        """(rows, scores, segments read): every row that can be among the k best, row `skip` left out, with its exact score."""
+        return self.search_all(q[None], k, np.array([skip]))[0]
+
+    def search_all(self, queries: np.ndarray, k: int, skip: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """`search` for each row of `queries`."""
+        found: list = [None] * len(queries)
+        for start in range(0, len(queries), TOGETHER):
+            self._together(queries, k, skip, np.arange(start, min(start + TOGETHER, len(queries))), found)
+        return found
+
+    def _together(self, queries: np.ndarray, k: int, skip: np.ndarray, left: np.ndarray, found: list) -> None:
+        n, dims = self.vectors.shape
+        if n <= k + 1:
+            for i in left:
+                found[i] = self._exact(np.delete(np.arange(n), skip[i]) if skip[i] >= 0 else np.arange(n), queries[i], 0)
+            return
+        for share in SHARES:
+            q = queries[left]
+            ends = q[:, None, :] * self.top, q[:, None, :] * self.bottom
+            impact = np.maximum(*ends)
+            low = np.minimum(*ends).min(axis=1, keepdims=True)
+            impact -= low  # counted from the lowest of each dimension, so never negative
+            taken = impact >= -np.partition(-impact.reshape(len(q), -1), int(share * impact[0].size) - 1, axis=1)[:, int(share * impact[0].size) - 1][:, None, None]
+            rest = np.where(taken, 0, impact).max(axis=1, keepdims=True)
+            weights = np.where(taken, impact, rest)
+            bound = self._sums(weights.transpose(0, 2, 1).reshape(len(q), -1).astype(np.float32))
+            slack = 2 * (dims + 2) * np.finfo(np.float32).eps * weights.max(axis=1).sum(axis=1)  # rounding of the sums
+            own = np.flatnonzero(skip[left] >= 0)
+            bound[own, skip[left][own]] = -np.inf
+            likely = np.argpartition(bound, n - k, axis=1)[:, n - k :]
+            proven = np.einsum("ikd,id->ik", self.vectors[likely], q).min(axis=1)
+            # a bound that is not a number keeps its row
+            members = ~(bound < (proven - low.sum(axis=(1, 2)) - slack)[:, None])
+            members[own, skip[left][own]] = False
+            done = (members.sum(axis=1) <= max(4 * k, n // 4)) | (share == SHARES[-1])
+            for i in np.flatnonzero(done):
+                found[left[i]] = self._exact(np.flatnonzero(members[i]), q[i], int(taken[i].sum()))
+            left = left[~done]
+            if not len(left):
+                return
+
+    def _sums(self, weights: np.ndarray) -> np.ndarray:
+        """Per query and row the sum of the weights of the row's segments, in slices of rows of bounded size."""
         n, dims = self.vectors.shape
-        levels = len(self.top)
-        # contributions are counted from the lowest one of each dimension, so they are never negative
-        low = np.where(q >= 0, q * self.bottom[-1], q * self.top[0])
-        bound = np.where(q >= 0, q * self.top, (q * self.bottom)[::-1]) - low
-        bound = np.vstack([bound, np.zeros(dims, np.int64)])
-        turn = np.argsort(-bound[:levels].ravel(), kind="stable")
-        at = np.zeros(dims, np.int64)
-        acc = np.zeros(n, np.int64)
-        unseen = np.ones((n, dims), bool)
-        alive = np.ones(n, bool) if skip is None else ~skip
-        if alive.sum() <= k:
-            return self._exact(np.flatnonzero(alive), q, 0)
-        check = max(1, len(turn) // 8)
-        for step, cell in enumerate(turn, 1):
-            # equal impacts may come out of order within a dimension: its next segment is always the one to read
-            d = int(cell) % dims
-            level = int(at[d])
-            rows = self.segments[d][level if q[d] >= 0 else levels - 1 - level]
-            acc[rows] += q[d] * self.vectors[rows, d] - low[d]
-            unseen[rows, d] = False
-            at[d] += 1
-            if step % check == 0 and step < len(turn):
-                rest = bound[at, np.arange(dims)]
-                best = np.partition(acc[alive], -k)[-k]
-                members = np.flatnonzero(alive & (acc + unseen @ rest >= best))
-                if len(members) <= max(4 * k, n // 16):
-                    return self._exact(members, q, step)
-        return self._exact(np.flatnonzero(alive), q, len(turn))
+        out = np.empty((len(weights), n), np.float32)
+        rows = max(1, CELLS // weights.shape[1])
+        for a in range(0, n, rows):
+            part = self.segment[a : a + rows]
+            member = np.zeros((weights.shape[1], len(part)), np.float32)
+            member[part, np.arange(len(part))[:, None]] = 1
+            np.matmul(weights, member, out=out[:, a : a + rows])
+        return out
 
     def _exact(self, rows: np.ndarray, q: np.ndarray, read: int) -> tuple[np.ndarray, np.ndarray, int]:
         return rows, self.vectors[rows] @ q, read
@@ -82,10 +111,11 @@ def _best(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
                 m[i, : len(r)] = r
             return m
 
-        ids, index = vectors.vec_id.to_numpy(), ImpactIndex(stack(vectors.vec))
-        for qid, q in zip(queries.vec_id.tolist(), stack(queries.vec), strict=True):
-            own = ids == qid
-            rows, scores, _ = index.search(q, k, own)
+        ids = vectors.vec_id.to_numpy()
+        place = {v: i for i, v in enumerate(ids.tolist())}
+        own = np.array([place.get(q, -1) for q in queries.vec_id.tolist()])
+        found = ImpactIndex(stack(vectors.vec)).search_all(stack(queries.vec), k, own)
+        for qid, (rows, scores, _) in zip(queries.vec_id.tolist(), found, strict=True):
             keep = np.lexsort((ids[rows], -scores))[:k]
             out["query_id"] += [qid] * len(keep)
             out["vec_id"] += ids[rows[keep]].tolist()
