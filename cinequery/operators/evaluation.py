@@ -40,3 +40,17 @@ def recall_at(scores: DataFrame) -> DataFrame:
     best = [F.coalesce(F.max(F.when(F.col("rank") <= k, F.col("score"))), F.lit(0.0)).alias(f"r{k}") for k in CUTOFFS]
     r = scores.groupBy("query_id").agg(*best)
     return r.withColumn("final_score", sum(F.col(f"r{k}") for k in CUTOFFS) / len(CUTOFFS))
+
+
+def event_scores(predictions: DataFrame, truth: DataFrame) -> DataFrame:
+    """For each of the first 100 sequences (query_id, rank, video_id, frames array<string>) the share of events whose interval holds their frame.
+
+    Truth is one row a query (query_id, video_id, intervals array<struct<start, end>>).
+    Another video, no truth or no intervals give 0; missing or unreadable frames miss.
+    """
+    t = truth.select("query_id", F.col("video_id").alias("_v"), "intervals")
+    p = predictions.filter(F.col("rank") <= 100).join(t, "query_id", "left")
+    inside = F.zip_with("frames", "intervals", lambda f, i: F.coalesce(f.try_cast("double").try_cast("bigint").between(i.start, i.end), F.lit(False)))
+    share = F.size(F.filter(inside, lambda x: x)) / F.size("intervals")
+    sound = (F.col("video_id") == F.col("_v")) & (F.size("intervals") > 0)
+    return p.select("query_id", "rank", "video_id", F.when(sound, share).otherwise(0.0).alias("score"))

@@ -32,3 +32,42 @@ def video_window(videos: DataFrame, start: int, end: int = 0) -> DataFrame:
         raise ValueError("window out of range")
     out = videos.withColumn("ordinal", F.row_number().over(Window.orderBy("video_id"))).filter(F.col("ordinal") >= start)
     return out.filter(F.col("ordinal") <= end) if end else out
+
+
+def shares(visual: float, ocr: float, metadata: float, objects: float, budget: int) -> tuple[int, int, int]:
+    """Quotas of visual, text and metadata rows in a budget; halves round to even."""
+    clip = lambda x, low, high: min(high, max(low, x))
+    parts = clip(visual + 0.35 * objects, 0.30, 0.65), clip(ocr, 0.15, 0.55), clip(metadata, 0.08, 0.30)
+    return tuple(max(1, round(budget * p)) for p in parts)
+
+
+def quota_pool(candidates: DataFrame, group: list[str], budget: int, quotas: tuple[int, int, int], max_per_video: int | None, min_gap: int) -> DataFrame:
+    """Candidates (group, video_id, key, frame_id, visual_rank, ocr_rank, metadata_score, score) chosen for reranking, with their place.
+
+    Rows are offered by visual rank, text rank, metadata score and fused score in
+    turn; a source takes rows until its quota is met, each key once, no more than
+    `max_per_video` a video, and none within `min_gap` frames of a chosen one of
+    its video (a gap of 0 asks nothing). What is left of the budget is filled by
+    fused score alone. A null rank keeps a row out of that source; ties go to the
+    smaller video and key. Sources share the state, so a query folds as a whole:
+    its candidates are a recall pool of stated size, not a table.
+    """
+    item = F.struct(F.col("video_id").cast("string").alias("video"), F.col("key").cast("long").alias("key"), F.col("frame_id").cast("long").alias("frame"))
+    turns = [F.col("visual_rank").cast("double"), F.col("ocr_rank").cast("double"), -F.coalesce("metadata_score", F.lit(0.0)), -F.coalesce("score", F.lit(0.0)), -F.coalesce("score", F.lit(0.0))]
+    offers = F.array(*[F.struct(F.lit(p).alias("phase"), t.cast("double").alias("turn"), item.video.alias("video"), item.key.alias("key"), item.frame.alias("frame")) for p, t in enumerate(turns)])
+    rows = candidates.withColumn("_o", F.filter(offers, lambda o: o.turn.isNotNull())).groupBy(*group).agg(F.array_sort(F.flatten(F.collect_list("_o"))).alias("_o"))
+    quota = F.array(*map(F.lit, (*quotas, budget, budget)))
+
+    def step(kept, x):
+        fresh = (F.size(kept) < budget) & ~F.exists(kept, lambda k: (k.video == x.video) & (k.key == x.key))
+        due = F.size(F.filter(kept, lambda k: k.phase == x.phase)) < F.element_at(quota, x.phase + 1)
+        apart = F.lit(True)
+        if max_per_video is not None:
+            apart &= F.size(F.filter(kept, lambda k: k.video == x.video)) < max_per_video
+        if min_gap:
+            apart &= ~F.exists(kept, lambda k: (k.video == x.video) & (F.abs(k.frame - x.frame) <= min_gap))
+        return F.when(fresh & due & (apart | (x.phase == 4)), F.array_append(kept, x)).otherwise(kept)
+
+    empty = F.array().cast("array<struct<phase:int,turn:double,video:string,key:bigint,frame:bigint>>")
+    chosen = rows.select(*group, F.posexplode(F.aggregate("_o", empty, step)).alias("place", "k"))
+    return chosen.select(*group, (F.col("place") + 1).alias("place"), "k.phase", F.col("k.video").alias("video_id"), F.col("k.key").alias("key"), F.col("k.frame").alias("frame_id"))

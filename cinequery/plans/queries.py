@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import alignment, bm25, evaluation, preprocess, refine, select, vector
+from ..operators import alignment, bm25, evaluation, fusion, models, preprocess, refine, router, select, vector
 from ..sources import files, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -359,3 +359,167 @@ def a7_answer_consensus(spark: SparkSession, d: str) -> DataFrame:
     s = p.groupBy("query_id", "answer").agg(F.sum(F.col("value") / (1 + 0.10 * F.greatest(F.col("rank") - 1, F.lit(0)))).alias("support"), F.min("rank").alias("first"))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("support", 9)), "first"))
     return s.withColumn("n", best).filter("n = 1").select("query_id", "answer", r6("support"))
+
+
+POOL = "SELECT user_id AS query_id, 'v' || (event_id % 5) AS video_id, event_id AS key, event_id AS frame_id, CASE WHEN event_id % 3 <> 0 THEN row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) END AS visual_rank, CASE WHEN event_id % 4 = 0 THEN row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) END AS ocr_rank, ((event_id * 7) % 11)::DOUBLE AS metadata_score, ((event_id * 3) % 17)::DOUBLE AS score FROM events"
+
+
+@query(f"""WITH RECURSIVE c AS ({POOL}),
+  o AS (SELECT query_id, video_id, key, frame_id, p.phase, CASE p.phase WHEN 0 THEN visual_rank WHEN 1 THEN ocr_rank WHEN 2 THEN -metadata_score ELSE -score END AS turn FROM c CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS phase) p WHERE turn IS NOT NULL),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY phase, turn, video_id, key) AS rn FROM o),
+  k AS (SELECT query_id, 0::BIGINT AS rn, []::STRUCT(phase INTEGER, video_id VARCHAR, key BIGINT, frame_id BIGINT)[] AS kept FROM (SELECT DISTINCT query_id FROM r)
+    UNION ALL SELECT k.query_id, r.rn, CASE WHEN len(k.kept) < 12 AND len(list_filter(k.kept, lambda x: x.video_id = r.video_id AND x.key = r.key)) = 0 AND len(list_filter(k.kept, lambda x: x.phase = r.phase)) < [7, 4, 1, 12, 12][r.phase + 1]
+      AND (r.phase = 4 OR (len(list_filter(k.kept, lambda x: x.video_id = r.video_id)) < 3 AND len(list_filter(k.kept, lambda x: x.video_id = r.video_id AND abs(x.frame_id - r.frame_id) <= 30)) = 0))
+      THEN list_append(k.kept, {{'phase': r.phase, 'video_id': r.video_id, 'key': r.key, 'frame_id': r.frame_id}}) ELSE k.kept END
+    FROM k JOIN r ON r.query_id = k.query_id AND r.rn = k.rn + 1),
+  f AS (SELECT query_id, kept FROM k QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rn DESC) = 1)
+  SELECT query_id, place::INTEGER AS place, x.phase AS phase, x.video_id AS video_id, x.key AS key, x.frame_id AS frame_id FROM (SELECT query_id, unnest(kept) AS x, generate_subscripts(kept, 1) AS place FROM f)""")
+def k6_quota_pool(spark: SparkSession, d: str) -> DataFrame:
+    """Each query's reranking pool, shared out over its sources."""
+    e = tables.load(spark, d, "events")
+    place = lambda *order: F.row_number().over(Window.partitionBy("user_id").orderBy(*order))
+    c = e.select(
+        F.col("user_id").alias("query_id"), F.concat(F.lit("v"), (F.col("event_id") % 5).cast("string")).alias("video_id"), F.col("event_id").alias("key"), F.col("event_id").alias("frame_id"),
+        F.when(F.col("event_id") % 3 != 0, place(F.desc("value"), "event_id")).alias("visual_rank"), F.when(F.col("event_id") % 4 == 0, place("value", "event_id")).alias("ocr_rank"),
+        ((F.col("event_id") * 7) % 11).cast("double").alias("metadata_score"), ((F.col("event_id") * 3) % 17).cast("double").alias("score"),
+    )
+    return select.quota_pool(c, ["query_id"], 12, select.shares(0.55, 0.30, 0.10, 0.0, 12), 3, 30)
+
+
+@query("""WITH p AS (SELECT user_id AS query_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) <= 32 AS pooled, (event_id % 101) / 100.0::DOUBLE AS j, (event_id % 53) / 52.0::DOUBLE AS v, (event_id % 29) / 28.0::DOUBLE AS s FROM events),
+  r AS (SELECT query_id, event_id, pooled, CASE WHEN NOT pooled THEN 0.9::DOUBLE * s WHEN query_id % 2 = 0 THEN 0.72 * j + 0.28 * s ELSE 0.42 * j + 0.58 * (0.70 * v + 0.30 * s) END AS score FROM p)
+  SELECT query_id, event_id, round(CASE WHEN pooled THEN score ELSE least(score, min(score) FILTER (pooled) OVER (PARTITION BY query_id) - 0.001) END, 6) AS score FROM r""")
+def r6_rerank_fusion(spark: SparkSession, d: str) -> DataFrame:
+    """Reranked scores of the pool; the rest stays below it."""
+    e = tables.load(spark, d, "events").withColumnRenamed("user_id", "query_id")
+    part = lambda n: (F.col("event_id") % n) / float(n - 1)
+    pooled = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("value"), "event_id")) <= 32
+    e = e.select("query_id", "event_id", pooled.alias("pooled"), fusion.rerank_score(part(101), part(53), part(29), F.col("query_id") % 2 == 0).alias("r"), (0.9 * part(29)).alias("s"))
+    e = e.select("query_id", "event_id", "pooled", F.when(F.col("pooled"), F.col("r")).otherwise(F.col("s")).alias("score"))
+    return fusion.cap_outside(e, ["query_id"], "pooled", "score").select("query_id", "event_id", r6("score"))
+
+
+@query("""WITH s AS (SELECT user_id AS query_id, avg(value) AS mean, min(value) AS least, max(value) AS clip FROM events GROUP BY user_id),
+  n AS (SELECT query_id, mean, least, CASE WHEN max(clip) OVER () - min(clip) OVER () < 1e-9 THEN 0.5 ELSE (clip - min(clip) OVER ()) / (max(clip) OVER () - min(clip) OVER ()) END AS c FROM s)
+  SELECT query_id, round(CASE query_id % 3 WHEN 0 THEN 0.35 * c WHEN 1 THEN 0.85 * (0.72 * mean + 0.28 * least) + 0.15 * c ELSE 0.88 * (0.72 * mean + 0.28 * least) + 0.12 * c END, 6) AS score FROM n""")
+def r7_sequence_rerank(spark: SparkSession, d: str) -> DataFrame:
+    s = tables.load(spark, d, "events").groupBy(F.col("user_id").alias("query_id")).agg(F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("clip"), F.lit(1).alias("one"))
+    kind = F.col("query_id") % 3
+    s = s.withColumn("c", vector.min_max("clip", ["one"])).withColumn("mean", F.when(kind != 0, F.col("mean")))
+    return s.select("query_id", F.round(fusion.sequence_rerank(F.col("mean"), F.col("least"), F.col("c"), kind == 2), 6).alias("score"))
+
+
+@query("""WITH t AS (SELECT user_id AS query_id, list(event_id ORDER BY event_id) AS ids FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 3) GROUP BY user_id),
+  p AS (SELECT user_id AS query_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id)::INTEGER AS rank, CASE WHEN event_id % 5 = 0 THEN 'x' ELSE 'v' END AS video_id FROM events QUALIFY rank <= 100)
+  SELECT query_id, rank, video_id, round(CASE WHEN video_id = 'v' THEN ((event_id BETWEEN ids[1] - 2000 AND ids[1] + 2000)::INT + coalesce((event_id + 1000 BETWEEN ids[2] - 2000 AND ids[2] + 2000)::INT, 0)) / len(ids)::DOUBLE ELSE 0 END, 6) AS score FROM p JOIN t USING (query_id)""")
+def j10_trake_eval(spark: SparkSession, d: str) -> DataFrame:
+    """Sequences against one interval an event; the third frame cannot be read and misses."""
+    e = tables.load(spark, d, "events").withColumnRenamed("user_id", "query_id")
+    first = vector.top_per_group(e, 3, ["query_id"], F.col("event_id"))
+    around = F.transform(F.array_sort(F.collect_list("event_id")), lambda x: F.struct((x - 2000).alias("start"), (x + 2000).alias("end")))
+    truth = first.groupBy("query_id").agg(around.alias("intervals")).withColumn("video_id", F.lit("v"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("value"), "event_id"))
+    frames = F.array(F.col("event_id").cast("string"), F.concat((F.col("event_id") + 1000).cast("string"), F.lit(".0")), F.lit("none"))
+    p = e.select("query_id", rank.alias("rank"), F.when(F.col("event_id") % 5 == 0, "x").otherwise("v").alias("video_id"), frames.alias("frames"))
+    return evaluation.event_scores(p, truth).select("query_id", "rank", "video_id", r6("score"))
+
+
+@query("")
+def m5_trake_hierarchical(spark: SparkSession, d: str) -> DataFrame:
+    """Event sequences from coarse to fine frames; a test holds it against brute force."""
+    s = vector.scored(positions(spark, d), tables.query_vectors(spark, d, list(EVENTS3)))
+    wide = s.groupBy("video_id", "frame_id").agg(*[F.max(F.when(F.col("query_id") == e, F.col("score"))).alias(f"s{e}") for e in range(3)])
+    found = refine.refine_sequences(wide, 3, refine.modulo_schedule("4,2,1"), 5)
+    return found.select("rank", "video_id", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), r6("score"))
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    """Search texts: user turns, some with connectors, signs and quotations."""
+    c = tables.load(spark, d, "conversations").filter("role = 'user'")
+    kind = F.col("conv_id") % 4
+    t = F.when(kind == 0, F.concat("text", F.lit(" a yellow sign with the text STOP HERE NOW; người mặc áo, what color"))).when(kind == 1, F.concat(F.lit("Biển màu vàng. chương trình nào? cảnh báo "), F.col("text"))).when(kind == 2, F.concat(F.lit("walking scene; \"Exit\" says "), F.col("text")))
+    return c.select("conv_id", "turn", t.otherwise(F.col("text")).alias("q"))
+
+
+def cue_sql(cues: tuple[str, ...]) -> str:
+    return "(" + " + ".join(f"contains(n, '{c}')::INT" for c in cues) + ")"
+
+
+SIGN = "(contains(n, 'bien') AND (contains(n, 'mau') OR contains(n, 'yellow')))"
+ASKED = """asked AS (SELECT conv_id, turn, CASE conv_id % 4 WHEN 0 THEN text || ' a yellow sign with the text STOP HERE NOW; người mặc áo, what color' WHEN 1 THEN 'Biển màu vàng. chương trình nào? cảnh báo ' || text WHEN 2 THEN 'walking scene; "Exit" says ' || text ELSE text END AS q FROM conversations WHERE role = 'user')"""
+CLAUSES = f"""{ASKED}, sent AS (SELECT conv_id, turn, i, list_transform(string_split(regexp_replace(sentence, '(?i){router.CONNECTOR}', chr(1), 'g'), chr(1)), lambda p: trim(p, ' ,:-—–')) AS parts
+    FROM (SELECT conv_id, turn, unnest(s) AS sentence, generate_subscripts(s, 1) AS i FROM (SELECT conv_id, turn, regexp_split_to_array(trim(regexp_replace(q, '\\s+', ' ', 'g')), '[.!?;\\n]+') AS s FROM asked))),
+  cl AS (SELECT conv_id, turn, i, j, part AS text, CASE WHEN n > 1 AND j = n THEN 'ocr' ELSE '' END AS role FROM (SELECT conv_id, turn, i, unnest(parts) AS part, generate_subscripts(parts, 1) AS j, len(parts) AS n FROM sent) WHERE part <> ''),
+  clauses AS (SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY i, j) - 1)::INTEGER AS place, text, role FROM cl)"""
+LEXICAL = {
+    m: f"(({base} + least({most}, {worth} * {cue_sql(cues)}))"
+    + {"visual": f" + CASE WHEN {SIGN} THEN 1.0 ELSE 0.0 END)", "ocr": f" * CASE WHEN {SIGN} THEN 0.55 ELSE 1.0 END + CASE WHEN role = 'ocr' THEN 2.4 ELSE 0.0 END)"}.get(m, ")")
+    for m, (base, cues, worth, most) in router.EVIDENCE.items()
+}
+TOTAL = " + ".join(f"greatest(0.02, {m}::DOUBLE)" for m in router.MODALITIES)
+
+
+def normal_sql(source: str, kept: str, damp: str = "") -> str:
+    return f"SELECT {kept}, {', '.join(f'greatest(0.02, {m}::DOUBLE) / ({TOTAL})' + (damp if m != 'ocr' else '') + f' AS {m}' for m in router.MODALITIES)} FROM {source}"
+
+
+SCORED_CLAUSES = f"""{CLAUSES}, folded AS (SELECT *, {SQUEEZED.format(t="text")} AS n, greatest(1, len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'))) AS mass FROM clauses),
+  lex AS (SELECT *, {", ".join(f"{LEXICAL[m]} AS {m}" for m in router.MODALITIES)} FROM folded),
+  damped AS ({normal_sql("lex", "conv_id, turn, place, text, role, n, mass", " * CASE WHEN role = 'ocr' THEN 0.08 ELSE 1.0 END")}),
+  sc AS ({normal_sql("damped", "conv_id, turn, place, text, role, n, mass")})"""
+
+
+@query(f"WITH {CLAUSES} SELECT * FROM clauses")
+def x8_query_clauses(spark: SparkSession, d: str) -> DataFrame:
+    c = asked(spark, d).select("conv_id", "turn", F.posexplode(router.clauses("q")).alias("place", "c"))
+    return c.select("conv_id", "turn", "place", "c.text", "c.role")
+
+
+@query(f"""WITH {SCORED_CLAUSES}, sums AS (SELECT conv_id, turn, {", ".join(f"sum(mass * {m}) / sum(mass) AS {m}" for m in router.MODALITIES)}, string_agg(CASE WHEN role <> '' THEN role WHEN {SIGN} THEN 'visual' WHEN visual = greatest(visual, ocr, metadata, object) THEN 'visual' WHEN ocr = greatest(visual, ocr, metadata, object) THEN 'ocr' WHEN metadata >= object THEN 'metadata' ELSE 'object' END, ',' ORDER BY place) AS dominant FROM sc GROUP BY ALL)
+  SELECT conv_id, turn, dominant, {", ".join(f"round({m}, 6) AS {m}" for m in router.MODALITIES)} FROM ({normal_sql("sums", "conv_id, turn, dominant")})""")
+def x9_clause_weights(spark: SparkSession, d: str) -> DataFrame:
+    """What each source is worth to a query, and its clauses' leading sources."""
+    c = asked(spark, d).withColumn("c", router.clauses("q")).withColumn("s", router.scored_clauses("c"))
+    c = c.select("conv_id", "turn", F.array_join(F.transform("s", lambda x: x.dominant), ",").alias("dominant"), router.weights("s").alias("w")).filter("w IS NOT NULL")
+    return c.select("conv_id", "turn", "dominant", *[F.round(f"w.{m}", 6).alias(m) for m in router.MODALITIES])
+
+
+def chosen_sql(m: str) -> str:
+    warning = " OR ".join(f"contains(n, '{w}')" for w in router.WARNING_CUES)
+    rest = f"{m} >= 0.20 AND {m} >= greatest(visual, ocr, metadata, object) - 0.12"
+    return f"coalesce(string_agg(text, ' ' ORDER BY place) FILTER (CASE WHEN role <> '' THEN role = '{m}' WHEN {SIGN} THEN {m == 'visual'} WHEN {m == 'ocr'} AND ({warning}) THEN true ELSE {rest} END), '') AS {m}"
+
+
+@query(f"WITH {SCORED_CLAUSES}, once AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY conv_id, turn, text, role ORDER BY place) = 1) SELECT conv_id, turn, {', '.join(map(chosen_sql, router.MODALITIES))} FROM once GROUP BY conv_id, turn")
+def x14_source_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The part of each query that goes to each source."""
+    c = asked(spark, d).withColumn("c", router.clauses("q")).filter(F.size("c") > 0).withColumn("s", router.scored_clauses("c"))
+    return c.select("conv_id", "turn", *[router.query_for("s", m).alias(m) for m in router.MODALITIES])
+
+
+@query(f"""WITH {ASKED}, f AS (SELECT *, {SQUEEZED.format(t="q")} AS n FROM asked) SELECT conv_id, turn, coalesce({cue_sql(router.OCR_CUES)} > 0 OR regexp_matches(q, '["“”''][^"“”'']{{3,}}["“”'']') OR regexp_matches(q, '\\b[A-ZÀ-ỸĐ][A-ZÀ-ỸĐ\\s]{{5,}}\\b'), false) AS explicit FROM f""")
+def x15_ocr_intent(spark: SparkSession, d: str) -> DataFrame:
+    return asked(spark, d).select("conv_id", "turn", router.explicit_ocr("q").alias("explicit"))
+
+
+@query(f"""WITH a AS (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations WHERE text IS NOT NULL),
+  l AS (SELECT conv_id, turn, string_split(CASE conv_id % 3 WHEN 0 THEN 'Find it' || chr(10) || 'Event 2 — b ' || t || chr(10) || ' - Sự kiện 1: a ' || t WHEN 1 THEN 'intro' || chr(10) || '2) second' || chr(10) || '1. first ' || t ELSE '• x ' || t || chr(10) || '- y' END, chr(10)) AS lines FROM a),
+  x AS (SELECT conv_id, turn, list_filter(lines, lambda s: regexp_matches(s, '(?i){router.EVENT_LINE}')) AS ev, list_filter(lines, lambda s: regexp_matches(s, '{router.NUMBERED_LINE}')) AS nu, lines FROM l)
+  SELECT conv_id, turn, array_to_string(CASE WHEN len(ev) > 0 THEN list_transform(list_reverse(ev), lambda s: trim(regexp_extract(s, '(?i){router.EVENT_LINE}', 2), ' -—–:' || chr(9))) WHEN len(nu) > 0 THEN list_transform(list_reverse(nu), lambda s: trim(regexp_extract(s, '{router.NUMBERED_LINE}', 2), ' -—–:' || chr(9))) ELSE list_transform(lines, lambda s: trim(ltrim(s, '-*• '))) END, '|') AS events FROM x""")
+def x7_event_parse(spark: SparkSession, d: str) -> DataFrame:
+    """The ordered events of numbered, labelled and plain prompts."""
+    c = tables.load(spark, d, "conversations").filter("text IS NOT NULL").withColumn("t", F.trim(F.regexp_replace("text", r"\s+", " ")))
+    labelled = F.concat(F.lit("Find it\nEvent 2 — b "), "t", F.lit("\n - Sự kiện 1: a "), "t")
+    t = F.when(F.col("conv_id") % 3 == 0, labelled).when(F.col("conv_id") % 3 == 1, F.concat(F.lit("intro\n2) second\n1. first "), "t")).otherwise(F.concat(F.lit("• x "), "t", F.lit("\n- y")))
+    return c.select("conv_id", "turn", t.alias("p")).select("conv_id", "turn", F.array_join(router.events("p").events, "|").alias("events"))
+
+
+@query("""WITH p AS (SELECT item_id, doc_id, b.text AS query, d.text AS text FROM benchmark b JOIN documents d ON d.doc_id % 40 = b.item_id % 40),
+  w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(lower(query), '\\s+'), lambda x: x <> '')) AS qw, list_distinct(regexp_split_to_array(lower(coalesce(text, '')), '\\s+')) AS tw FROM p)
+  SELECT item_id, doc_id, round(len(list_intersect(qw, tw)) / len(qw)::DOUBLE, 6) AS score FROM w""")
+def m9_pair_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of query and text through a pair scorer; here word overlap stands in for a model."""
+    b = tables.load(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
+    docs = tables.load(spark, d, "documents").select("doc_id", "text")
+    pairs = b.join(docs, F.col("doc_id") % 40 == F.col("item_id") % 40)
+    return models.score_pairs(pairs, models.TokenOverlap).select("item_id", "doc_id", r6("score"))

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from cinequery.functions import text
-from cinequery.operators import alignment, evaluation, preprocess, refine, select
+from cinequery.operators import alignment, evaluation, fusion, models, preprocess, refine, router, select
 
 
 def test_alignment_equals_brute_force(spark):
@@ -75,3 +75,85 @@ def test_text(spark):
     df = spark.createDataFrame([("Đường  Số́ 5",), (None,)], "t string")
     assert [r[0] for r in df.select(text.squeezed("t")).collect()] == ["duong so 5", None]
     assert df.select(text.terms("t")).first()[0] == ["duong", "so"]
+
+
+def test_sequence_refinement_equals_brute_force(spark):
+    rng = random.Random(7)
+    scores = {(v, f): tuple(rng.random() for _ in range(3)) for v in "abcdefgh" for f in range(rng.randint(5, 40))}
+    df = spark.createDataFrame([(v, f, *s) for (v, f), s in scores.items()], "video_id string, frame_id long, s0 double, s1 double, s2 double")
+    got = {r.video_id: (r.path, round(r.score, 9), r["rank"]) for r in refine.refine_sequences(df, 3, [4, 2, 1], 4, 6).collect()}
+
+    def best(v, choices):
+        paths = [p for p in itertools.product(*choices) if p[0] < p[1] < p[2]]
+        return max(paths, key=lambda p: sum(scores[v, f][e] for e, f in enumerate(p)), default=None)
+
+    def judge(v, p):
+        x = [scores[v, f][e] for e, f in enumerate(p)]
+        return 0.72 * sum(x) / 3 + 0.28 * min(x)
+
+    frames = {v: [f for w, f in scores if w == v] for v in "abcdefgh"}
+    coarse = {v: p for v in frames if (p := best(v, [[f for f in frames[v] if f % 4 == 0]] * 3))}
+    kept = dict(sorted(coarse.items(), key=lambda i: (-judge(*i), i[0]))[:6])
+    for previous, step in ((4, 2), (2, 1)):
+        for v, p in kept.items():
+            kept[v] = best(v, [[f for f in frames[v] if abs(f - c) <= previous and f % step == 0] for c in p]) or p
+    want = sorted(kept.items(), key=lambda i: (-judge(*i), i[0]))[:4]
+    assert got == {v: (list(p), round(judge(v, p), 9), k) for k, (v, p) in enumerate(want, 1)}
+
+
+def test_quota_pool_keeps_text_row_and_skips_nulls(spark):
+    rows = [(1, f"v{i}", i, 0, i, None, 0.0, 1.0 - i / 10) for i in range(3)] + [(1, "w", 9, 0, None, 1, None, None)]
+    schema = "q int, video_id string, key long, frame_id long, visual_rank int, ocr_rank int, metadata_score double, score double"
+    got = select.quota_pool(spark.createDataFrame(rows, schema), ["q"], 4, select.shares(0.55, 0.30, 0.10, 0.0, 4), None, 0).collect()
+    assert sorted(r.video_id for r in got) == ["v0", "v1", "v2", "w"] and sorted(r.place for r in got) == [1, 2, 3, 4]
+    one = [(1, "v", i, i, i, None, 0.0, 0.5) for i in range(6)]
+    pool = select.quota_pool(spark.createDataFrame(one, schema), ["q"], 5, (3, 1, 1), 2, 30)
+    assert pool.count() == 5  # one burst in one video: the rest of the budget fills without diversity
+    assert select.shares(0.0, 0.0, 0.0, 0.0, 5) == (2, 1, 1)
+
+
+def test_clauses_and_source_queries(spark):
+    text = "Một biển báo màu vàng bên đường. Biển có nội dung là cảnh báo sạt lở"
+    df = spark.createDataFrame([(text,), (None,), ("  ",), ("...",)], "q string").withColumn("c", router.clauses("q")).withColumn("s", router.scored_clauses("c"))
+    r = df.select("c", router.weights("s").alias("w"), router.query_for("s", "visual").alias("v"), router.query_for("s", "ocr").alias("o")).collect()
+    assert [tuple(c) for c in r[0].c] == [("Một biển báo màu vàng bên đường", ""), ("Biển", ""), ("cảnh báo sạt lở", "ocr")]
+    assert r[0].v.startswith("Một biển báo màu vàng bên đường") and r[0].o == "cảnh báo sạt lở"
+    assert sum(r[0].w) == pytest.approx(1.0)
+    assert [len(x.c) for x in r] == [3, 0, 0, 1] and r[1].w is None
+    intents = spark.createDataFrame([("a logo",), ("he said 'go now' to her",), ("STOP HERE",), ("a red car",), (None,)], "q string")
+    assert [x[0] for x in intents.select(router.explicit_ocr("q")).collect()] == [True, True, True, False, False]
+
+
+def test_event_prompts(spark):
+    prompts = ["Tìm video\nSự kiện 2 — Cắt: b\nEvent 1: a", "1. x\r\n2. y\n3. z", "- one\n• two", "Event 1: a\nEvent 1: b", "single", None]
+    got = spark.createDataFrame([(p,) for p in prompts], "p string").select(router.events("p").alias("e")).collect()
+    assert [(r.e.events, r.e.problem) for r in got] == [(["a", "Cắt: b"], ""), (["x", "y", "z"], ""), (["one", "two"], ""), (["a", "b"], "duplicate"), (["single"], "few"), ([], "few")]
+
+
+def test_event_truth_and_rerank_scores(spark):
+    iv = [(95, 105), (145, 155), (195, 205), (245, 255)]
+    truth = spark.createDataFrame([(1, "a", iv), (2, "a", [])], "query_id int, video_id string, intervals array<struct<start:int,end:int>>")
+    p = [(1, 1, "a", ["101", "156", "203.0", "251"]), (1, 2, "b", ["101"]), (1, 3, "a", ["100", None]), (2, 1, "a", ["1"]), (3, 1, "a", ["1"])]
+    got = evaluation.event_scores(spark.createDataFrame(p, "query_id int, rank int, video_id string, frames array<string>"), truth).collect()
+    assert {(r.query_id, r["rank"]): r.score for r in got} == {(1, 1): 0.75, (1, 2): 0.0, (1, 3): 0.25, (2, 1): 0.0, (3, 1): 0.0}
+    rows = spark.createDataFrame([(0.96, 0.20, 0.45, False), (0.86, 0.84, 0.62, False), (0.90, 0.30, 0.70, True), (0.80, 0.85, 0.25, True)], "j double, v double, s double, e boolean")
+    a, b, c, d = [r[0] for r in rows.select(fusion.rerank_score(*(rows[x] for x in "jvse"))).collect()]
+    assert b > a and c > d
+    capped = fusion.cap_outside(spark.createDataFrame([(1, True, 0.5), (1, False, 0.9), (1, False, 0.1), (2, False, 0.9)], "q int, p boolean, s double"), ["q"], "p", "s")
+    assert sorted((r.q, r.s) for r in capped.collect()) == [(1, 0.1), (1, 0.499), (1, 0.5), (2, 0.9)]
+
+
+def test_models_score_distinct_inputs(spark):
+    pairs = spark.createDataFrame([(1, "a b", "b c"), (2, "a b", "b c"), (3, "", "x"), (4, None, None)], "i int, query string, text string")
+    assert {r.i: r.score for r in models.score_pairs(pairs, models.TokenOverlap).collect()} == {1: 0.5, 2: 0.5, 3: 0.0, 4: 0.0}
+
+    class Length:
+        def encode(self, texts):
+            return [[float(len(t))] for t in texts]
+
+        def answer(self, questions, evidence):
+            return [(e, 0.5) for e in evidence]
+
+    assert sorted(r.embedding[0] for r in models.encode_texts(pairs, Length).collect()) == [1.0, 3.0]
+    asked = spark.createDataFrame([("q", "yes"), ("q", None)], "question string, evidence string")
+    assert sorted((r.answer, r.confidence) for r in models.answer_questions(asked, Length).collect()) == [("", 0.5), ("yes", 0.5)]
