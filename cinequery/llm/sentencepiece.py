@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -162,17 +163,27 @@ class Tokenizer:
         best: list[float | None] = [None] * (n + 1)
         back: list[tuple[int, int]] = [(0, 0)] * (n + 1)
         best[0] = 0.0
-        scores, prefixes = self.scores, self.trie.prefixes
+        scores, base, check, limit = self.scores, self.trie.base, self.trie.check, len(self.trie.base)
         at = 0
         while at < n:
             lead = raw[at]
             one = at + (1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
             here, single = best[at], False
-            for end, i in prefixes(raw, at):
-                score = here + scores[i]
-                if best[end] is None or score > best[end]:
-                    best[end], back[end] = score, (at, i)
-                single = single or end == one
+            state, end = 0, at
+            # the trie's walk of `prefixes`, without a generator in the innermost loop
+            while end < n:
+                to = base[state] + raw[end] + 1
+                if to >= limit or check[to] != state:
+                    break
+                state = to
+                end += 1
+                leaf = base[state]
+                if leaf < limit and check[leaf] == state and base[leaf] < 0:
+                    i = -base[leaf] - 1
+                    score = here + scores[i]
+                    if best[end] is None or score > best[end]:
+                        best[end], back[end] = score, (at, i)
+                    single = single or end == one
             if not single:
                 score = here + self.unknown_score
                 if best[one] is None or score > best[one]:
@@ -194,7 +205,7 @@ class Tokenizer:
             part = chunk[a:b]
             ids = self.cache.get(part)
             if ids is None:
-                ids = np.array(self.viterbi(part), "<i4").tobytes()
+                ids = array("i", self.viterbi(part)).tobytes()
                 if len(part) < 64:
                     self.cache[part] = ids
             out.append(ids)
