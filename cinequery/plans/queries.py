@@ -497,7 +497,10 @@ def x14_source_queries(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "turn", *[router.query_for("s", m).alias(m) for m in router.MODALITIES])
 
 
-@query(f"""WITH {ASKED}, f AS (SELECT *, {SQUEEZED.format(t="q")} AS n FROM asked) SELECT conv_id, turn, coalesce({cue_sql(router.OCR_CUES)} > 0 OR regexp_matches(q, '["“”''][^"“”'']{{3,}}["“”'']') OR regexp_matches(q, '\\b[A-ZÀ-ỸĐ][A-ZÀ-ỸĐ\\s]{{5,}}\\b'), false) AS explicit FROM f""")
+NOT_WORD = r"[^\p{L}\p{N}_]"  # the SQL engine's own word boundary knows ASCII letters only
+
+
+@query(f"""WITH {ASKED}, f AS (SELECT *, {SQUEEZED.format(t="q")} AS n FROM asked) SELECT conv_id, turn, coalesce({cue_sql(router.OCR_CUES)} > 0 OR regexp_matches(q, '["“”''][^"“”'']{{3,}}["“”'']') OR regexp_matches(q, '(^|{NOT_WORD})[A-ZÀ-ỸĐ][A-ZÀ-ỸĐ\\s]{{4,}}([A-ZÀ-ỸĐ]({NOT_WORD}|$)|\\s[\\p{{L}}\\p{{N}}_])'), false) AS explicit FROM f""")
 def x15_ocr_intent(spark: SparkSession, d: str) -> DataFrame:
     return asked(spark, d).select("conv_id", "turn", router.explicit_ocr("q").alias("explicit"))
 
