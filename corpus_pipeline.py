@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinequery.llm import decontam, secrets, sentencepiece, simhash, toxicity
+from cinequery.llm import decontam, near_copies, secrets, sentencepiece, toxicity
 from cinequery.llm.common import materialize, table
 from cinequery.llm.queries import MODEL_PATH
 
@@ -21,8 +21,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, the smallest doc_id, of each group of linked fingerprints."""
-    return simhash.one_of_each(docs)
+    """Keeps one document, the smallest doc_id, of each group of near copies: five-word shingles, similarity 0.8."""
+    return near_copies.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

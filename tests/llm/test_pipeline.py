@@ -1,7 +1,7 @@
 """Each stage on its own input."""
 
 import corpus_pipeline as p
-from cinequery.llm import decontam, sentencepiece, simhash
+from cinequery.llm import decontam, near_copies, sentencepiece
 from cinequery.llm.queries import MODEL_PATH
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +17,7 @@ def test_stages(spark):
         out = {r.doc_id: r.text for r in now.collect()}
         assert set(out) <= set(kept)
         if name == "simhash_near_dedup":
-            groups = {r.doc_id: r.component_id for r in simhash.simhash_groups(docs).collect()}
+            groups = {r.doc_id: r.component_id for r in near_copies.near_copy_groups(docs).collect()}
             assert set(out) == set(groups.values())
         if name == "benchmark_decontamination":
             assert not any(i in t for t in out.values() for i in items)
