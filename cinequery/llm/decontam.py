@@ -1,14 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Every word triple of a test item is counted over all documents. An item's rare
-half of triples are its seeds; documents are read once more, and where seeds of
-one item lie together, the passage around them is aligned with the item. Both
-passes read texts where they are; only counts of the items' triples move.
-Items are taken in blocks of bounded size, one broadcast a block.
+"""Benchmark decontamination: bounds on the alignment score choose passages, Smith-Waterman decides.
+
+An alignment that reaches the threshold has a least number of the item's words
+and a greatest length. So a document must hold one of the item's rarer words,
+enough of its words in all, and a stretch where these lie close; where all that
+holds, the passage is aligned with the item. These are bounds, not guesses: no
+passage that reaches the threshold is left out. Texts are read once, where they
+are. Items are taken in blocks of bounded size, one broadcast a block.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -16,11 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import filtered, project
 
-GRAM = 3
+LEAST_WORDS = 3  # in an item
 BLOCK_WORDS = 500_000  # words of items in one block (at most some 100 MB in a worker)
 MATCH, MISMATCH, GAP = 2, -1, -1
 _PUNCTUATION = bytes(32 if chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c in range(256))
@@ -32,51 +33,74 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Items:
-    """A block of test items with their words numbered and their triples as keys."""
+    """A block of test items with their words numbered, and what an alignment of each must hold."""
 
-    def __init__(self, rows: list[tuple[int, str | None]]):
+    def __init__(self, rows: list[tuple[int, str | None]], threshold: float):
         self.vocabulary: dict[bytes, int] = {}
         self.ids = [i for i, _ in rows]
         self.codes = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(t)], np.int64) for _, t in rows]
-        self.base = len(self.vocabulary) + 1  # base ** 3 < 2 ** 63 for blocks of up to two million words
-        self.keys = [self.grams(c) for c in self.codes]
-        self.all_keys = np.unique(np.concatenate([*self.keys, np.zeros(0, np.int64)]))
+        self.distinct = [np.unique(c, return_counts=True) for c in self.codes]
+        self.need = [max(1.0, threshold * MATCH * len(c)) for c in self.codes]
+        self.least = [math.ceil(n / MATCH) for n in self.need]  # words of the item in an alignment that reaches `need`
+        # with m words in it, it stands at most MATCH * m - need words that do not match
+        self.span = [int((1 + MATCH) * len(c) - n) for c, n in zip(self.codes, self.need, strict=True)]
+        self._flags = np.zeros(len(self.vocabulary) + 1, bool)
+        commonness = np.bincount(np.concatenate([*(d for d, _ in self.distinct), np.zeros(0, np.int64)]), minlength=len(self._flags))
+        # words of which an alignment cannot do without all: the rarest, by items, that leave fewer than `least` places
+        rare: dict[int, list[int]] = defaultdict(list)
+        for k, (codes, times) in enumerate(self.distinct):
+            if LEAST_WORDS <= len(self.codes[k]) and self.least[k] <= len(self.codes[k]):
+                order = np.argsort(commonness[codes], kind="stable")
+                upto = int(np.searchsorted(np.cumsum(times[order]), len(self.codes[k]) - self.least[k], side="right"))
+                for code in codes[order[: upto + 1]].tolist():
+                    rare[code].append(k)
+        self.rare = {code: np.array(at) for code, at in rare.items()}
 
     @classmethod
-    def of(cls, kept: dict) -> Items:
+    def of(cls, kept: dict, threshold: float) -> Items:
         """The block's items, made once in a worker."""
-        return kept.get("items") or kept.setdefault("items", cls(kept["rows"]))
+        return kept.get("items") or kept.setdefault("items", cls(kept["rows"], threshold))
 
     def encode(self, found: list[bytes]) -> np.ndarray:
         """Words by number, 0 if no item has them."""
         get = self.vocabulary.get
         return np.array([get(w, 0) for w in found], np.int64)
 
-    def grams(self, codes: np.ndarray) -> np.ndarray:
-        """Keys of all triples; one with a foreign word is 0."""
-        if len(codes) < GRAM:
-            return np.zeros(0, np.int64)
-        a, b, c = codes[:-2], codes[1:-1], codes[2:]
-        return np.where((a > 0) & (b > 0) & (c > 0), (a * self.base + b) * self.base + c, 0)
-
-    def hits(self, codes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, index in `wanted`) of the triples that are wanted."""
-        keys = self.grams(codes)
-        at = np.flatnonzero(keys)
-        found = np.searchsorted(wanted, keys[at])
-        ok = wanted[np.minimum(found, len(wanted) - 1)] == keys[at] if len(wanted) else np.zeros(len(at), bool)
-        return at[ok], found[ok]
-
-
-def rare_seeds(items: Items, counts: dict[int, int]) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
-    """Seed keys, and for each the (item, place) it stands at: an item's triples that are no commoner than its median one."""
-    where: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for k, keys in enumerate(items.keys):
-        n = np.array([counts.get(x, 0) for x in keys.tolist()], np.int64)
-        for place in np.flatnonzero(n <= np.median(n)).tolist() if len(n) else ():
-            where[int(keys[place])].append((k, place))
-    seeds = np.array(sorted(where), np.int64)
-    return seeds, [where[s] for s in seeds.tolist()]
+    def candidates(self, codes: np.ndarray) -> list[int]:
+        """Items with enough of their words anywhere in the text."""
+        present = np.unique(codes)
+        lists = [self.rare[c] for c in present.tolist() if c in self.rare]
+        if not lists:
+            return []
+        self._flags[present] = True
+        out = [k for k in np.unique(np.concatenate(lists)).tolist() if self.distinct[k][1][self._flags[self.distinct[k][0]]].sum() >= self.least[k]]
+        self._flags[present] = False
+        return out
+
+    def stretches(self, k: int, codes: np.ndarray) -> list[tuple[int, int]]:
+        """Places (from, to) that hold every alignment of item k that reaches `need`.
+
+        Each word of the item counts as a match and each other one as a mismatch,
+        which no alignment exceeds; sums run over `span` words at most.
+        """
+        self._flags[self.distinct[k][0]] = True
+        total = np.concatenate([[0], np.cumsum(np.where(self._flags[codes], MATCH, MISMATCH))])
+        self._flags[self.distinct[k][0]] = False
+        if (total - np.minimum.accumulate(total)).max() < self.need[k]:
+            return []
+        span, least, width = self.span[k], total.copy(), 1  # least: over the last `width` sums
+        while width < span + 1:
+            step = min(width, span + 1 - width)
+            least[step:] = np.minimum(least[step:], least[:-step].copy())
+            width += step
+        out: list[tuple[int, int]] = []
+        for end in np.flatnonzero(total - least >= self.need[k]).tolist():
+            lo = max(0, end - span)
+            if out and lo <= out[-1][1]:
+                out[-1] = (out[-1][0], end)
+            else:
+                out.append((lo, end))
+        return out
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
@@ -99,29 +123,15 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best, int(j), end
 
 
-def passages(items: Items, seeds: tuple[np.ndarray, list[list[tuple[int, int]]]], codes: np.ndarray, threshold: float) -> list[tuple[int, float, int, int]]:
+def passages(items: Items, codes: np.ndarray, threshold: float) -> list[tuple[int, float, int, int]]:
     """(item, score, start word, end word) of aligned passages that reach the threshold, the best for each item."""
-    spots: dict[int, list[int]] = defaultdict(list)
-    places, which = items.hits(codes, seeds[0])
-    for at, s in zip(places.tolist(), which.tolist(), strict=True):
-        for item, place in seeds[1][s]:
-            spots[item].append(at - place)  # where the item would start
     out = []
-    for item, begins in spots.items():
-        length, best = len(items.codes[item]), None
-        begins.sort()
-        first, slack = 0, max(4, length // 2)
-        for k in range(1, len(begins) + 1):
-            if k < len(begins) and begins[k] - begins[k - 1] <= slack:
-                continue
-            near = k - first  # seeds that agree on a place
-            lo, hi = max(0, begins[first] - slack), min(len(codes), begins[k - 1] + length + slack)
-            first = k
-            if near < 2 and len(items.keys[item]) >= 8:
-                continue
-            # runs of agreeing seeds over repeats are cut, with overlap
-            for a in range(lo, hi, 4 * length + 1):
-                score, start, end = align(items.codes[item], codes[a : min(hi, a + 6 * length + 1)])
+    for item in items.candidates(codes):
+        length, span, best = len(items.codes[item]), items.span[item], None
+        for lo, hi in items.stretches(item, codes):
+            # long stretches are cut, with the overlap of a whole alignment
+            for a in range(lo, max(lo + 1, hi - span), 4 * length + 1):
+                score, start, end = align(items.codes[item], codes[a : min(hi, a + 4 * length + 1 + span)])
                 now = (score / (MATCH * length), a + start, a + end)
                 if now[0] >= threshold and (best is None or now[0] > best[0]):
                     best = now
@@ -134,20 +144,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     """Rows (doc_id, item_id, score, start_word, end_word): documents that hold an item, copied or edited.
 
     score is the alignment's share of a verbatim copy's; `threshold` or more
-    counts, the best passage a pair. Items of fewer than three words have no
-    seeds and are never reported; null items and texts are empty. Rows of
+    counts, the best passage a pair. Items of fewer than three words are
+    never reported; null items and texts are empty. Rows of
     documents that repeat give rows that repeat. Empty tables give no rows;
     other columns are not read.
     """
     d = project(docs, doc_id="long", text="string")
     schema = "doc_id long, item_id long, score double, start_word int, end_word int"
     out = None
-    for items, seeds in seeded_blocks(d, benchmark, block_words):
+    for items in item_blocks(benchmark, block_words):
 
-        def find(batches: Iterator[pa.RecordBatch], items=items, seeds=seeds) -> Iterator[pa.RecordBatch]:
-            it = Items.of(items.value)
+        def find(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
+            it = Items.of(items.value, threshold)
             for b in batches:
-                rows = [(doc, it.ids[k], s, a, e) for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True) for k, s, a, e in passages(it, seeds.value, it.encode(words(text.as_py())), threshold)]
+                rows = [(doc, it.ids[k], s, a, e) for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True) for k, s, a, e in passages(it, it.encode(words(text.as_py())), threshold)]
                 cols = list(zip(*rows, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "item_id", "score", "start_word", "end_word"])
 
@@ -159,34 +169,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
 def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents, all columns as they are, that hold no item (see `contaminated`)."""
     out = docs
-    for items, seeds in seeded_blocks(project(docs, text="string"), benchmark, block_words):
+    for items in item_blocks(benchmark, block_words):
 
-        def keep(items=items, seeds=seeds):
-            it = Items.of(items.value)
-            return lambda text: not passages(it, seeds.value, it.encode(words(text)), threshold)
+        def keep(items=items):
+            it = Items.of(items.value, threshold)
+            return lambda text: not passages(it, it.encode(words(text)), threshold)
 
         out = filtered(out, keep)
     return out
 
 
-def seeded_blocks(d: DataFrame, benchmark: DataFrame, block_words: int) -> Iterator[tuple[Broadcast, Broadcast]]:
-    """For each block of items: the items and their seeds, which are counted over all texts of `d`."""
-    spark = d.sparkSession
+def item_blocks(benchmark: DataFrame, block_words: int) -> Iterator[Broadcast]:
+    """The rows of each block of items, for `Items.of`."""
     for block in _blocks(project(benchmark, item_id="long", text="string"), block_words):
-        items = spark.sparkContext.broadcast({"rows": block})
-
-        def count(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            it = Items.of(items.value)
-            total = np.zeros(len(it.all_keys), np.int64)
-            for b in batches:
-                for text in b.column(0):
-                    total[np.unique(it.hits(it.encode(words(text.as_py())), it.all_keys)[1])] += 1
-            k = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(it.all_keys[k]), pa.array(total[k])], ["key", "n"])
-
-        # as many rows as the block has triples, at most
-        counts = {r.key: r.n for r in d.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toLocalIterator()}
-        yield items, spark.sparkContext.broadcast(rare_seeds(Items(block), counts))
+        yield benchmark.sparkSession.sparkContext.broadcast({"rows": block})
 
 
 def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int, str | None]]]:

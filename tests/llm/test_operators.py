@@ -180,6 +180,46 @@ def test_decontamination_finds_edited_copies(spark):
     assert decontam.contaminated(docs(spark, rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_equals_alignment_of_whole_texts(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(4)) if rng.random() < 0.6 else rng.choice(("the", "of", "and", "in"))
+    items = [(k, " ".join(word() for _ in range((16, 30, 59)[k % 3]))) for k in range(12)]
+
+    def edited(words, share, kinds):
+        out = []
+        for w in words:
+            kind = rng.choice(kinds) if rng.random() < share else "keep"
+            out += {"keep": [w], "change": [word()], "add": [w, word()], "drop": []}[kind]
+        return out
+
+    texts = []
+    for _, text in items:
+        for copies in (0, 3):
+            texts += [[word() for _ in range(40)] + text.split()] * copies
+            for share in (0.2, 0.25, 0.3):
+                for kinds in (["change"], ["change", "add", "drop"]):
+                    texts.append([word() for _ in range(30)] + edited(text.split(), share, kinds) + [word() for _ in range(30)])
+        # every third word changed, every word followed by another: no triple, or no pair, is left
+        texts.append([w if i % 3 else "other" for i, w in enumerate(text.split())])
+        texts.append([x for w in text.split() for x in (w, "other")])
+    rows = [(n, " ".join(t)) for n, t in enumerate(texts)]
+    number: dict[bytes, int] = {}
+    codes = lambda t: np.array([number.setdefault(w, len(number)) for w in decontam.words(t)])
+    want = {}
+    for n, t in rows:
+        for k, item in items:
+            item, text = codes(item), codes(t)
+            score = decontam.align(item, text)[0] / (decontam.MATCH * len(item))
+            if score >= 0.5:
+                want[n, k] = score
+    got = decontam.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"), block_words=200)
+    got = {(r.doc_id, r.item_id): r.score for r in got.collect()}
+    assert len(want) > 0.8 * len(rows)
+    assert (len(got), got) == (len(want), want)
+    kept = decontam.clean_documents(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {n for n, _ in rows} - {n for n, _ in want}
+
+
 def unigram_copy(raw):
     """The model file with its type set to unigram, so that the public library runs Viterbi over the same pieces."""
     out, at = bytearray(raw), 0
