@@ -1,10 +1,11 @@
-"""Near copies by word shingles: SimHash proposes, exact Jaccard similarity decides.
+"""Near copies by word shingles: pairs are proposed without loss, exact Jaccard similarity decides.
 
-Candidates come from the generalised pigeonhole search of `simhash`, on
-fingerprints of two-word shingles. Few edits leave these close: of the pairs
-that share four fifths of their five-word shingles nearly all lie within
-`reach` bits. A pair is compared if some probed partition brings it together,
-which is sure within `max_distance` bits and likely well beyond.
+Two ways propose pairs. SimHash fingerprints of two-word shingles, cut into the
+partitions of `simhash`, bring most near copies together quickly; this links
+large groups but proves nothing. Then each text's first shingles, in one order
+of all shingles with common ones last, are joined: of two similar texts with
+those prefixes at least one shingle is in both, so every similar pair that is
+not linked yet is compared. What the first way misses only costs time.
 
 Groups of thousands of near copies do not make all their pairs: texts first
 meet a few leaders of each bucket they fall in, in turns with other leaders, and
@@ -13,7 +14,7 @@ only texts that are not yet in one group are paired after that.
 
 from __future__ import annotations
 
-import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ PRODUCTIVE = 0.1
 LEADERS, CLOSEST = 12, 3
 #: Texts this similar to a leader are in its region; texts of a region's block.
 LOOSE, BLOCK = 0.4, 128
+#: Shingles that stand in OFTEN of SAMPLE texts, the MOST commonest at most, come last in the prefixes; this bears on time only.
+SAMPLE, OFTEN, MOST = 10_000, 3, 500_000
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -47,13 +50,38 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.fromiter(grams, np.uint64, len(grams)).view(np.int64)
 
 
-def _fingerprints(texts: DataFrame) -> DataFrame:
+def _common(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles that many of a sample of different texts have, in order."""
+    share = max(1, texts.count() // SAMPLE)
+    sample = texts.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).dropDuplicates(["id"])
+    s = _shingle_sets(sample, shingle).select(F.explode("shingles").alias("s")).groupBy("s").count()
+    rows = s.filter(F.col("count") >= OFTEN).orderBy(F.desc("count"), "s").limit(MOST).select("s").toLocalIterator()
+    return np.sort(np.fromiter((r.s for r in rows), np.int64))
+
+
+def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """So many first shingles, rare ones before common ones, that any set as similar shares one of its own with them."""
+    n = len(shingles)
+    found = np.minimum(np.searchsorted(common, shingles), max(len(common) - 1, 0))
+    often = common[found] == shingles if len(common) else np.zeros(n, bool)
+    return shingles[np.lexsort((shingles, often))][: n - math.ceil(similarity * n - 1e-9) + 1] if n else shingles
+
+
+def _fingerprints(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Rows (doc_id, id, fp, size, prefix): fingerprints, and prefixes of shingle sets of that size."""
+    common = texts.sparkSession.sparkContext.broadcast(_common(texts, shingle))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), PROPOSING) for t in b.column(2)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["doc_id", "id", "fp"])
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                found = [t.as_py() for t in part.column(2)]
+                fps = np.fromiter((fingerprint(t, PROPOSING) for t in found), np.uint64, len(found))
+                sets = [shingle_set(t, shingle) for t in found]
+                first = pa.array([prefix(x, similarity, common.value) for x in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fps.view(np.int64)), pa.array([len(x) for x in sets], pa.int32()), first], ["doc_id", "id", "fp", "size", "prefix"])
 
-    return texts.select("doc_id", "id", "text").mapInArrow(run, "doc_id long, id long, fp long")
+    return texts.select("doc_id", "id", "text").mapInArrow(run, "doc_id long, id long, fp long, size int, prefix array<long>")
 
 
 def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -115,8 +143,19 @@ def _bits(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def _keys(part: int, value: Column, flips: list[int]) -> Column:
-    return F.transform(F.array(*map(F.lit, flips)), lambda x: F.xxhash64(F.lit(part), value.bitwiseXOR(x)))
+def _unlinked(labelled: DataFrame, similarity: float) -> DataFrame:
+    """Rows (u, v), u > v: all pairs of different labels that can be similar, by shingles their prefixes share and where these stand."""
+    filed = labelled.select("id", "label", "size", F.posexplode("prefix").alias("at", "s"))
+    shared = filed.groupBy("s").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("s")
+    filed = materialize(filed.join(shared, "s", "left_semi"), "near-shared")
+    left = filed.select("s", *(F.col(c).alias(f"{c}_u") for c in ("id", "label", "size", "at")))
+    right = filed.select("s", *(F.col(c).alias(f"{c}_v") for c in ("id", "label", "size", "at")))
+    sizes = F.least("size_u", "size_v") >= similarity * F.greatest("size_u", "size_v") - 1e-6
+    # no more can be common than stands up to this shingle in both, and after it in both
+    most = F.least("at_u", "at_v") + 1 + F.least(F.col("size_u") - F.col("at_u"), F.col("size_v") - F.col("at_v")) - 1
+    enough = most >= similarity / (1 + similarity) * (F.col("size_u") + F.col("size_v")) - 1e-6
+    pairs = left.join(right, "s").filter((F.col("id_u") > F.col("id_v")) & (F.col("label_u") != F.col("label_v")) & sizes & enough)
+    return pairs.select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
 
 
 def _leaders(labelled: DataFrame, exact: list[Column], turn: int, reach: int) -> DataFrame:
@@ -135,6 +174,12 @@ def _leaders(labelled: DataFrame, exact: list[Column], turn: int, reach: int) ->
     return closest.select(F.greatest("id", "lead").alias("u"), F.least("id", "lead").alias("v")).distinct()
 
 
+def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """The nodes with the component of the links they are in, else their own id, as label."""
+    parts = connected_components(links).withColumnRenamed("node", "id")
+    return materialize(nodes.join(parts, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component"), "near-labels")
+
+
 def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_distance: int = 7, reach: int = 13) -> DataFrame:
     """Rows (doc_id, component_id), one for each input row: groups linked by Jaccard similarity of word shingles.
 
@@ -143,20 +188,26 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     only if equal, null counting as empty; texts shorter than a shingle are
     one shingle. Repeated rows stay rows; null doc_ids name no component
     unless nothing else is reachable (null then). An empty table gives no
-    rows; other columns are not read.
+    rows; other columns are not read. `max_distance` and `reach` (bits of
+    fingerprints) bear on time only.
     """
+    rows, grouped = _grouped(docs, shingle, similarity, max_distance, reach)
+    least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    return rows.join(grouped.select("id", "component").join(least, "component"), "id").select("doc_id", "component_id")
+
+
+def _grouped(docs: DataFrame, shingle: int, similarity: float, max_distance: int = 7, reach: int = 13) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, id) of the input, id being the text's hash, and (id, first_id, component) of the different texts."""
     texts = project(docs, doc_id="long", text="string").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("id", F.xxhash64("text"))
-    rows = materialize(_fingerprints(texts), "near-rows")
-    nodes = materialize(rows.groupBy("id").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp")), "near-nodes")
+    rows = materialize(_fingerprints(texts, shingle, similarity), "near-rows")
+    nodes = materialize(rows.groupBy("id").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("prefix").alias("prefix")), "near-nodes")
 
     chosen = plan(bit_counts(nodes), max(nodes.count(), 1), max_distance, parts=(4, 6, 8))  # fewer parts would need wide balls
-    exact, probe = [], []
-    for k, (group, t) in enumerate(chosen):
+    exact = []
+    for k, (group, _) in enumerate(chosen):
         value = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in group))))
-        near = [_signed(sum(1 << b for b in c)) for r in range(t + 1) for c in itertools.combinations(group, r)]
         exact.append(F.xxhash64(F.lit(k), value))
-        probe.append(_keys(k, value, near))
 
     # texts meet leaders of their buckets, others each turn, as long as that links many
     sets, alone, tested, loose, turn = None, None, None, None, 0
@@ -172,8 +223,7 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         found, stars = found.filter(F.col("j") >= similarity), loose.filter(F.col("j") >= similarity)
         n = found.count()
         if n:
-            parts = connected_components(stars).withColumnRenamed("node", "id")
-            labelled = materialize(nodes.join(parts, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("label")), "near-labels")
+            labelled = _labelled(nodes.select("id", "fp"), stars)
         if n <= PRODUCTIVE * pairs.count():
             break
         near, turn = labelled.join(alone.filter("not alone"), "id", "left_semi"), turn + 1
@@ -182,19 +232,14 @@ def near_copy_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     regions = connected_components(loose).select(F.col("node").alias("id"), F.col("component").alias("region"))
     labelled = materialize(labelled.join(alone, "id", "left").join(regions, "id", "left"), "near-regions")
     inside = materialize(_within_regions(labelled, sets, similarity, reach), "near-inside")
-    left = labelled.select(F.col("id").alias("u"), F.col("fp").alias("fu"), F.col("label").alias("lu"), F.col("alone").alias("au"), F.col("region").alias("ru"), F.explode(F.array(*exact)).alias("key"))
-    right = labelled.select(F.col("id").alias("v"), F.col("fp").alias("fv"), F.col("label").alias("lv"), F.col("alone").alias("av"), F.col("region").alias("rv"), F.explode(F.concat(*probe)).alias("key"))
-    hopeless = F.col("au").isNotNull() & F.col("av").isNotNull() & (F.col("au") | F.col("av"))
-    done = F.coalesce(hopeless | (F.col("ru") == F.col("rv")), F.lit(False))
-    rest = left.join(right, "key").filter((F.col("lu") != F.col("lv")) & (F.col("u") < F.col("v")) & ~done & (_bits("fu", "fv") <= reach))
-    rest = materialize(rest.select("u", "v").distinct(), "near-rest")
+    links = stars.union(inside).select("u", "v")
+    rest = _unlinked(_labelled(nodes.select("id", "size", "prefix"), links), similarity)
+    rest = materialize(rest.join(tested, ["u", "v"], "left_anti"), "near-rest")
     sets = _sets_of(rest.select(F.col("u").alias("id")).union(rest.select("v")), texts, shingle)
-    links = materialize(_similar(rest, sets, similarity).union(inside).union(stars).select("u", "v"), "near-links")
+    links = materialize(_similar(rest, sets, similarity).select("u", "v").union(links), "near-links")
 
-    parts = connected_components(links).withColumnRenamed("node", "id")
-    grouped = nodes.join(parts, "id", "left").select("id", "first_id", F.coalesce("component", "id").alias("component"))
-    least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return rows.select("doc_id", "id").join(grouped.select("id", "component").join(least, "component"), "id").select("doc_id", "component_id")
+    grouped = _labelled(nodes.select("id", "first_id"), links).withColumnRenamed("label", "component")
+    return rows.select("doc_id", "id"), grouped
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -47,6 +47,30 @@ def test_groups_equal_brute_force(spark):
     assert sum(got[d] == want[d] for d in got) >= 0.98 * len(want)
 
 
+def test_appended_and_replaced_passages_equal_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(5000)}"
+    line = " ".join(word() for _ in range(12))  # stands in every text
+    texts = []
+    for n in range(240):
+        words = [word() for _ in range(rng.choice((60, 120, 250)))]
+        more = round(len(words) * rng.uniform(0.08, 0.26))
+        at = rng.randrange(len(words) - more)
+        if n % 3 == 0:
+            copy = words + [word() for _ in range(more)]
+        elif n % 3 == 1:
+            copy = words[:at] + [word() for _ in range(more // 2)] + words[at + more // 2 :]
+        else:
+            copy = words[:at] + words[at + more :]
+        texts += [f"{' '.join(words)} {line}", f"{' '.join(copy)} {line}"]
+    rng.shuffle(texts)
+    texts = list(enumerate(texts))
+    want = brute(texts)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copy_groups(rows(spark, texts)).collect()}
+    assert 80 < sum(want[d] != d for d in want) < 230
+    assert (sum(got[d] != d for d in got), got) == (sum(want[d] != d for d in want), want)
+
+
 def test_odd_rows(spark):
     odd = [(1, None), (2, ""), (3, "one two"), (3, "one two"), (None, "one two"), (None, "alone here"), (5, "w " * 30000), (6, "w " * 30001)]
     got = {(r.doc_id, r.component_id) for r in near_copies.near_copy_groups(rows(spark, odd)).collect()}
