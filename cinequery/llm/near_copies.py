@@ -243,10 +243,17 @@ def _grouped(docs: DataFrame, shingle: int, similarity: float, max_distance: int
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The documents, all columns as they are, that stand for their group: those with the smallest doc_id, once each.
+    """The documents, all columns as they are, that stand for their group: one row for each.
 
-    Rows without a doc_id cannot be told apart; they stay only if their group has no doc_id.
+    It is the row with the smallest doc_id, those without one coming last, and
+    of several texts with that doc_id the one with the smallest hash.
     """
-    groups = near_copy_groups(docs, shingle, similarity)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
+    _, grouped = _grouped(docs, shingle, similarity)
+    first = F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "id")).alias("first")
+    kept = grouped.groupBy("component").agg(first).select(F.col("first.first_id").alias("_near_doc"), F.col("first.id").alias("_near_id"))
+    names = docs.columns
+    numbered = docs.toDF(*[f"_in{i}" for i in range(len(names))])
+    column = lambda name, kind: (F.col(f"_in{names.index(name)}") if name in names else F.lit(None)).cast(kind)
+    rows = numbered.withColumn("_doc", column("doc_id", "long")).withColumn("_id", F.xxhash64(F.coalesce(column("text", "string"), F.lit(""))))
+    same = F.col("_doc").eqNullSafe(F.col("_near_doc")) & (F.col("_id") == F.col("_near_id"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["_id"]).drop("_doc", "_id").toDF(*names)

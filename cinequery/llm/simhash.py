@@ -172,16 +172,6 @@ def links(fps: DataFrame, max_distance: int = 3) -> DataFrame:
     return near.select("u", "v").distinct()
 
 
-def one_of_each(docs: DataFrame, shingle: int = 3, max_distance: int = 3) -> DataFrame:
-    """The documents, all columns as they are, that stand for their group: those with the smallest doc_id, once each.
-
-    Rows without a doc_id cannot be told apart; they stay only if their group has no doc_id.
-    """
-    groups = simhash_groups(docs, shingle, max_distance)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi").dropDuplicates(["doc_id"])
-
-
 def simhash_groups(docs: DataFrame, shingle: int = 3, max_distance: int = 3) -> DataFrame:
     """Rows (doc_id, fingerprint, component_id), one for each input row.
 

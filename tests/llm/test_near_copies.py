@@ -79,3 +79,13 @@ def test_odd_rows(spark):
     assert kept.columns == ["doc_id", "text", "id", "FP", "TEXT2"]
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 3, 5, None]
     assert near_copies.one_of_each(rows(spark, [])).collect() == []
+
+
+def test_one_row_of_each_group_stays_whatever_its_doc_id(spark):
+    rng = random.Random(6)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(40))
+    a, b, c, d, e = (text() for _ in range(5))
+    # c and e share doc_id 7, and c's near copy has a smaller one; a and b are alone without doc_ids
+    given = [(None, a), (None, b), (None, b), (None, f"{d} more"), (2, d), (3, f"{c} more"), (7, c), (7, e), (7, e)]
+    kept = sorted(((r.doc_id, r.text) for r in near_copies.one_of_each(rows(spark, given)).collect()), key=str)
+    assert kept == sorted([(None, a), (None, b), (2, d), (3, f"{c} more"), (7, e)], key=str)
