@@ -1,0 +1,11 @@
+"""Moment retrieval and corpus preparation on Spark.
+
+Functions that run on executors are pickled by value, so a cluster needs no
+installed copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed stop words of the text index.
-STOP_WORDS = "a an and are as at cua cho co da de do duoc for from in is la mot nhung o of on or the to trong va voi ve with".split()
+STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "cua", "cho", "co", "da", "de", "do", "duoc", "for", "from", "in", "is", "la", "mot", "nhung", "o", "of",
+    "on", "or", "the", "to", "trong", "va", "voi", "ve", "with",
+]
 #: Fixed aliases between sign words of two languages.
 ALIASES = {
     "warning": ["canh", "bao"], "warnings": ["canh", "bao"], "danger": ["nguy", "hiem"], "dangerous": ["nguy", "hiem"],
@@ -45,14 +49,27 @@ def squeezed(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(normalize(text), r"\s+", " "))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, however often `use` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def words_of(folded: Column | str) -> Column:
+    return F.regexp_extract_all(folded, F.lit(r"(?U)(\w+)"), 1)
+
+
 def tokens(text: Column | str) -> Column:
-    return F.regexp_extract_all(normalize(text), F.lit(r"(?U)(\w+)"), 1)
+    return words_of(normalize(text))
 
 
-def terms(text: Column | str) -> Column:
-    """Tokens of two characters or more that are no stop words."""
+def terms_of(folded: Column | str) -> Column:
+    """Tokens of a folded text that have two characters or more and are no stop words."""
     stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(tokens(text), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(words_of(folded), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+
+
+def terms(text: Column | str) -> Column:
+    return terms_of(normalize(text))
 
 
 def aliases(term: Column) -> Column:

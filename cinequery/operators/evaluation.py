@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -15,7 +15,7 @@ NUMBERS = {
 }
 
 
-def normalize_answer(column: str):
+def normalize_answer(column: str | Column) -> Column:
     """Folded text without a leading colour marker, number words as digits."""
     plain = F.trim(F.regexp_replace(X.squeezed(column), "^mau ", ""))
     table = F.create_map(*[F.lit(x) for kv in NUMBERS.items() for x in kv])
@@ -35,6 +35,26 @@ def interval_scores(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     return p.join(hit, ["query_id", "rank"], "left").select("query_id", "rank", "video_id", "frame_id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
+def accepted(answer: str, answers: str) -> Column:
+    """Whether an answer, in normal form, is one of an array of accepted ones; an empty answer never is."""
+    normal = normalize_answer(F.coalesce(F.col(answer), F.lit("")))
+    others = F.transform(F.coalesce(answers, F.array().cast("array<string>")), normalize_answer)
+    return (normal != "") & F.array_contains(others, normal)
+
+
+def qa_scores(predictions: DataFrame, truth: DataFrame, answers: DataFrame) -> DataFrame:
+    """`interval_scores` times whether the answer is accepted, over predictions with an answer; `answers` (query_id, answers) has one row a query."""
+    located = interval_scores(predictions, truth)
+    judged = predictions.select("query_id", "rank", "answer").join(answers.select("query_id", "answers"), "query_id", "left")
+    right = judged.select("query_id", "rank", "answer", accepted("answer", "answers").cast("double").alias("_a"))
+    return located.join(right, ["query_id", "rank"]).select("query_id", "rank", "video_id", "frame_id", "answer", (F.col("score") * F.coalesce("_a", F.lit(0.0))).alias("score"))
+
+
+def run_summary(seconds: DataFrame) -> DataFrame:
+    """(query, mean, least) of measured runs (query, seconds)."""
+    return seconds.groupBy("query").agg(F.avg("seconds").alias("mean"), F.min("seconds").alias("least"))
+
+
 def recall_at(scores: DataFrame) -> DataFrame:
     """The best score up to each cutoff, and their mean, a query."""
     best = [F.coalesce(F.max(F.when(F.col("rank") <= k, F.col("score"))), F.lit(0.0)).alias(f"r{k}") for k in CUTOFFS]

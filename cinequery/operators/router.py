@@ -30,10 +30,18 @@ VISUAL_CUES = (
     "action", "scene", "moment", "walking", "running", "jumping", "speaking", "opening",
 )
 WARNING_CUES = ("canh bao", "nguy hiem", "sat lo", "lu quet", "warning", "landslide")
-#: Fixed: per modality its base score, its cues, the worth of a cue and the most that cues add.
-EVIDENCE = {"visual": (0.53, VISUAL_CUES, 0.45, 1.4), "ocr": (0.08, OCR_CUES, 0.80, 1.6), "metadata": (0.08, METADATA_CUES, 0.90, 1.8), "object": (0.26, OBJECT_CUES, 0.90, 1.8)}
+#: Fixed: what every modality has, and what pictures and objects have besides.
+BASE, VISUAL_MORE, OBJECT_MORE = 0.08, 0.45, 0.18
+#: Fixed: per modality its first score, its cues, the worth of a cue and the most that cues add.
+EVIDENCE = {
+    "visual": (BASE + VISUAL_MORE, VISUAL_CUES, 0.45, 1.4),
+    "ocr": (BASE, OCR_CUES, 0.80, 1.6),
+    "metadata": (BASE, METADATA_CUES, 0.90, 1.8),
+    "object": (BASE + OBJECT_MORE, OBJECT_CUES, 0.90, 1.8),
+}
 #: Fixed phrases after which a sentence quotes visible text.
 CONNECTOR = r"\b(?:có\s+nội\s+dung(?:\s+là)?|nội\s+dung(?:\s+là)?|có\s+chữ|chứa\s+(?:dòng\s+)?chữ|ghi(?:\s+là)?|viết(?:\s+là)?|says?|with\s+(?:the\s+)?(?:text|words?)|containing\s+(?:the\s+)?(?:text|words?))\b"
+#: Fixed characters that are no part of a clause's ends.
 EDGE = " ,:-—–"
 #: Fixed lines that number events; group 1 is the number, group 2 the text.
 EVENT_LINE = r"^\s*(?:[-*•]\s*)?(?:sự\s*kiện|su\s*kien|event)\s*(\d+)\s*(?:[—–:]|-|\.)\s*(.+?)\s*$"
@@ -85,12 +93,17 @@ def _each(s: Column) -> list[Column]:
     return [s[m] for m in MODALITIES]
 
 
-def scored_clauses(found: str) -> Column:
+MODEL_SHARE, LEXICAL_SHARE, DAMPED = 0.68, 0.32, 0.08  # fixed
+
+
+def scored_clauses(found: str, model: str | None = None) -> Column:
     """Array of (text, role, folded, scores, dominant, confidence, mass) from `clauses`.
 
-    Without a model, the lexical scores stand in for it; both are mixed 0.68 to
-    0.32 and a role damps the other modalities. Each step is a transform of its
-    own, so that what it names is evaluated once.
+    `model` names an array with a model's similarities of each clause, one
+    struct of the four modalities a clause in the same order; `softmax` makes
+    shares of them. Without a model the lexical scores stand in for it. Both are
+    mixed 0.68 to 0.32 and a role damps the other modalities. Each step is a
+    transform of its own, so that what it names is evaluated once.
     """
     step = F.transform(found, lambda c: F.struct(c.text.alias("text"), c.role.alias("role"), X.squeezed(c.text).alias("folded"), F.greatest(F.lit(1), F.size(F.regexp_extract_all(c.text, F.lit(r"(?U)(\w+)"), 1))).alias("mass")))
 
@@ -101,9 +114,10 @@ def scored_clauses(found: str) -> Column:
         raw["ocr"] = raw["ocr"] * F.when(sign, 0.55).otherwise(1.0) + F.when(c.role == "ocr", 2.4).otherwise(0.0)
         return F.struct(*[c[x].alias(x) for x in ("text", "role", "folded", "mass")], _fields([raw[m] for m in MODALITIES]).alias("lexical"))
 
-    def mixed(c: Column) -> Column:
+    def mixed(c: Column, i: Column) -> Column:
         part = normalised(_each(c.lexical))
-        damped = [(0.68 * p + 0.32 * p) * F.when((c.role == "ocr") & F.lit(m != "ocr"), 0.08).otherwise(1.0) for m, p in zip(MODALITIES, part, strict=True)]
+        known = softmax(_each(F.get(F.col(model), i))) if model else part
+        damped = [(MODEL_SHARE * k + LEXICAL_SHARE * p) * F.when((c.role == "ocr") & F.lit(m != "ocr"), DAMPED).otherwise(1.0) for m, k, p in zip(MODALITIES, known, part, strict=True)]
         return F.struct(*[c[x].alias(x) for x in ("text", "role", "folded", "mass")], _fields(normalised(damped)).alias("scores"))
 
     def judged(c: Column) -> Column:

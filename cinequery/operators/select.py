@@ -2,36 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def greedy_gap(df: DataFrame, group: list[str], frame: str, score: str, min_gap: int, max_per_group: int | None) -> DataFrame:
+def greedy_gap(df: DataFrame, group: list[str], frame: str, score: str, min_gap: int, max_per_group: int | None, limit: int | None = None) -> DataFrame:
     """Rows kept by a scan of each group by falling score: a row goes if a kept frame lies within `min_gap`, or the group is full.
 
-    Ties go to the smaller frame. The rule never looks across groups, so each
-    group folds by itself; the fold holds kept frames only.
+    Ties go to the smaller frame; a frame that repeats counts once, at its best
+    score. The rule never looks across groups, so each group folds by itself.
+    A kept frame shuts out 2 * min_gap + 1 frame numbers at most, so the first
+    (most - 1) * (2 * min_gap + 1) + 1 frames hold all that can be kept, `most`
+    being `max_per_group`, or else the `limit` of rows that the caller takes
+    from all groups together; no more are gathered. Null scores and frames go.
     """
-    full = F.lit(True) if max_per_group is None else None
-    rows = df.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("key"), F.col(frame).cast("long").alias("frame")))).alias("_rows"))
-    empty = F.array().cast("array<struct<key:double,frame:bigint>>")
+    most = min(x for x in (max_per_group, limit) if x is not None)
+    key = F.round(F.col(score), 9)
+    rows = df.filter(F.col(score).isNotNull() & F.col(frame).isNotNull()).groupBy(*group, F.col(frame).cast("long").alias("_frame")).agg(F.max(F.struct(key.alias("key"), F.col(score).cast("double").alias("score"))).alias("_s"))
+    first = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("_s.key"), "_frame"))
+    rows = rows.withColumn("_n", first).filter(F.col("_n") <= (most - 1) * (2 * min_gap + 1) + 1)
+    gathered = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_n", F.col("_frame").alias("frame"), F.col("_s.score").alias("score")))).alias("_rows"))
+    empty = F.array().cast("array<struct<_n:int,frame:bigint,score:double>>")
 
     def step(kept, x):
-        room = full if full is not None else F.size(kept) < max_per_group
-        return F.when(room & ~F.exists(kept, lambda k: F.abs(k.frame - x.frame) <= min_gap), F.array_append(kept, x)).otherwise(kept)
+        return F.when((F.size(kept) < most) & ~F.exists(kept, lambda k: F.abs(k.frame - x.frame) <= min_gap), F.array_append(kept, x)).otherwise(kept)
 
-    folded = rows.withColumn("_kept", F.aggregate(F.transform("_rows", lambda r: F.struct(r.key.cast("double").alias("key"), r.frame.alias("frame"))), empty, step))
-    return folded.select(*group, F.explode("_kept").alias("k")).select(*group, F.col("k.frame").alias(frame), (-F.col("k.key")).alias(score))
+    folded = gathered.select(*group, F.explode(F.aggregate("_rows", empty, step)).alias("k"))
+    return folded.select(*group, F.col("k.frame").alias(frame), F.col("k.score").alias(score))
 
 
 def video_window(videos: DataFrame, start: int, end: int = 0) -> DataFrame:
-    """Rows whose 1-based place by video_id lies in start .. end; end 0 means the last."""
-    from pyspark.sql import Window
+    """Rows (one a video) whose 1-based place by video_id lies in start .. end; end 0 means the last. A repeated video_id is an error.
 
+    Only the first `end` rows are gathered to be numbered.
+    """
     if start < 1 or (end and end < start):
         raise ValueError("window out of range")
-    out = videos.withColumn("ordinal", F.row_number().over(Window.orderBy("video_id"))).filter(F.col("ordinal") >= start)
-    return out.filter(F.col("ordinal") <= end) if end else out
+    if videos.groupBy("video_id").count().filter("count > 1").limit(1).count():
+        raise ValueError("a video_id occurs twice")
+    first = videos.orderBy("video_id").limit(end or videos.count())
+    return first.withColumn("ordinal", F.row_number().over(Window.orderBy("video_id"))).filter(F.col("ordinal") >= start)
 
 
 def shares(visual: float, ocr: float, metadata: float, objects: float, budget: int) -> tuple[int, int, int]:

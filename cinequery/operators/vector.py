@@ -1,7 +1,11 @@
-"""Vector scores in double precision, inside generated code."""
+"""Vector scores in double precision: as expressions, or as one matrix product an Arrow batch."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +33,71 @@ def scored(frames: DataFrame, queries: DataFrame) -> DataFrame:
     return frames.join(F.broadcast(queries)).withColumn("score", cosine("embedding", "qvec"))
 
 
+#: Cells of the query vectors in one block; a block is broadcast, 8 bytes a cell.
+BLOCK_CELLS = 4 << 20
+
+
+def recall(frames: DataFrame, queries: DataFrame, pool: int) -> DataFrame:
+    """The `pool` best frames (video_id, feature_index, embedding) of each query (query_id, qvec) by cosine: (query_id, video_id, feature_index, score).
+
+    Queries are streamed to the driver in blocks of bounded size, each one pass
+    over the frames. A task keeps its `pool` best a query, ties at the edge
+    included; ties in the end go to the smaller video and index. Vectors that
+    are null, hold nulls or have another length than the query take no part.
+    """
+    kind = dict(queries.dtypes)["query_id"]
+    schema = f"query_id {kind}, video_id string, feature_index long, score double"
+    out = None
+    for ids, vectors in _blocks(queries):
+        shared = frames.sparkSession.sparkContext.broadcast((ids, vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, q = shared.value
+            kept: list = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+            videos, places, seen = [], [], 0
+            for b in batches:
+                lists = [v if v is not None and len(v) == q.shape[1] and None not in v else None for v in b.column(2).to_pylist()]
+                good = np.array([v is not None for v in lists], bool)
+                if not good.any():
+                    continue
+                e = np.array([v for v in lists if v is not None], np.float64)
+                videos.append(b.column(0).filter(pa.array(good)))
+                places.append(b.column(1).filter(pa.array(good)).to_numpy())
+                scores = (q @ e.T) / np.maximum(np.linalg.norm(e, axis=1), 1e-12)
+                rows = np.arange(seen, seen + len(e))
+                seen += len(e)
+                for k, (had, at) in enumerate(kept):
+                    s, r = np.concatenate([had, scores[k]]), np.concatenate([at, rows])
+                    if len(s) > pool:
+                        keep = s >= np.partition(s, len(s) - pool)[len(s) - pool] - 1e-12
+                        s, r = s[keep], r[keep]
+                    kept[k] = s, r
+            if seen:
+                names, place = pa.concat_arrays(videos), np.concatenate(places)
+                for k, (s, r) in enumerate(kept):
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[k]] * len(r), pa.int64()), names.take(pa.array(r)), pa.array(place[r], pa.int64()), pa.array(s)], ["query_id", "video_id", "feature_index", "score"])
+
+        found = frames.select("video_id", F.col("feature_index").cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(run, "query_id long, video_id string, feature_index long, score double")
+        out = found if out is None else out.union(found)
+    if out is None:
+        return frames.sparkSession.createDataFrame([], schema)
+    out = out.select(F.col("query_id").cast(kind), "video_id", "feature_index", "score")
+    return top_per_group(out, pool, ["query_id"], F.desc(F.round("score", 9)), F.col("video_id"), F.col("feature_index")).drop("rank")
+
+
+def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+    ids, vectors, cells = [], [], 0
+    for r in queries.select("query_id", F.col("qvec").cast("array<double>").alias("qvec")).filter("qvec is not null").orderBy("query_id").toLocalIterator():
+        if vectors and (cells + len(r.qvec) > BLOCK_CELLS or len(r.qvec) != len(vectors[0])):
+            yield ids, np.array(vectors)
+            ids, vectors, cells = [], [], 0
+        ids.append(r.query_id)
+        vectors.append(r.qvec)
+        cells += len(r.qvec)
+    if vectors:
+        yield ids, np.array(vectors)
+
+
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows by `order`, with rank 1 .. k: a bounded heap a task, then one merge."""
     top = df.orderBy(*order).limit(k)

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from cinequery.functions import text
-from cinequery.operators import alignment, evaluation, fusion, models, preprocess, refine, router, select
+from cinequery.operators import alignment, bm25, evaluation, fusion, language, models, preprocess, qa, refine, router, search, select, trake, vector
 
 
 def test_alignment_equals_brute_force(spark):
@@ -157,3 +157,169 @@ def test_models_score_distinct_inputs(spark):
     assert sorted(r.embedding[0] for r in models.encode_texts(pairs, Length).collect()) == [1.0, 3.0]
     asked = spark.createDataFrame([("q", "yes"), ("q", None)], "question string, evidence string")
     assert sorted((r.answer, r.confidence) for r in models.answer_questions(asked, Length).collect()) == [("", 0.5), ("yes", 0.5)]
+
+
+def test_greedy_needs_no_more_frames_than_can_be_shut_out(spark):
+    rows = [("v", f, 1000.0 - f) for f in range(900)] + [("w", 5, 1.0), ("w", 5, 2.0), ("w", None, 3.0)]
+    got = select.greedy_gap(spark.createDataFrame(rows, "g string, f long, s double"), ["g"], "f", "s", 90, 4).collect()
+    assert sorted((r.g, r.f, r.s) for r in got) == [("v", 0, 1000.0), ("v", 91, 909.0), ("v", 182, 818.0), ("v", 273, 727.0), ("w", 5, 2.0)]
+
+
+def test_recall_equals_expressions(spark):
+    rng = random.Random(4)
+    frames = [(f"v{i % 3}", i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(200)] + [("v0", 900, None), ("v0", 901, [1.0, None, 0.0, 0.0]), ("v0", 902, [0.0] * 4)]
+    f = spark.createDataFrame(frames, "video_id string, feature_index long, embedding array<double>").repartition(4)
+    q = spark.createDataFrame([(k, [rng.uniform(-1, 1) for _ in range(4)]) for k in range(3)], "query_id long, qvec array<double>")
+    got = {(r.query_id, r.feature_index): round(r.score, 9) for r in vector.recall(f, q, 20).collect()}
+    plain = vector.scored(f.filter("embedding is not null and not array_contains(transform(embedding, x -> x is null), true)"), q)
+    want = vector.top_per_group(plain, 20, ["query_id"], vector.F.desc("score"), vector.F.col("video_id"), vector.F.col("feature_index")).collect()
+    assert got == {(r.query_id, r.feature_index): round(r.score, 9) for r in want} and len(got) == 60
+    assert vector.recall(f, q.limit(0), 20).collect() == []
+
+
+def test_signs_rank_first_and_tickers_are_left_out(spark):
+    texts = ["CẢNH BÁO nguy hiểm sạt lở", "thời tiết hôm nay nắng", "tin bóng đá trong nước", "cảnh báo nguy cơ lũ quét vùng núi miền Bắc mưa lớn diện rộng"]
+    docs = spark.createDataFrame([(i, t, 1 if i == 3 else 2) for i, t in enumerate(texts)] + [(4, None, 2)], "doc long, text string, schema int").withColumn("quality", preprocess.legacy_quality("text", "schema"))
+    queries = spark.createDataFrame([(0, "cảnh báo sạt lở"), (1, "warning danger landslide"), (2, None), (3, "the")], "query_id int, query string")
+    got = bm25.ocr_search(docs, queries).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.doc) for r in got if r["rank"] == 1] == [(0, 0), (1, 0)]
+    assert all(r.doc != 3 for r in got)
+    twins = spark.createDataFrame([(i, "red door", 1.0) for i in range(3)], "doc long, text string, quality double")
+    assert [r.doc for r in bm25.ocr_search(twins, queries.limit(1).selectExpr("query_id", "'red door' query")).orderBy("rank").collect()] == [2, 1, 0]
+
+
+def test_rare_metadata_wins_and_others_score_0(spark):
+    docs = spark.createDataFrame([(0, "daily news"), (1, "daily aurora report"), (2, "cooking"), (3, None)], "doc long, text string")
+    got = {r.doc: r.score for r in bm25.metadata_search(docs, spark.createDataFrame([(0, "daily aurora")], "query_id int, query string")).collect()}
+    assert got[1] == 1.0 and 0 < got[0] < 1 and got[2] == got[3] == 0.0
+
+
+def test_options_are_cut_to_their_bounds():
+    assert search.Options.clamped("500", "-3", "0") == search.Options(100, 0, None)
+    assert search.Options.clamped(None, "x", "7") == search.Options(100, 0, 7)
+    for bad in ({"top_k": 0}, {"min_gap": -1}, {"max_per_video": 0}):
+        with pytest.raises(ValueError):
+            search.Options(**bad)
+    assert (search.recall_pool(10), search.recall_pool(100, "one"), search.refine_pool(100)) == (800, 24000, 3000)
+    assert trake.budgeted(32, 5, 10) == 6 and trake.budgeted(1, 5, 10) == 1 and trake.budgeted(32, 3, 0) == 0
+
+
+def test_unknown_videos_are_an_error(spark):
+    f = spark.createDataFrame([("a", 1)], "video_id string, frame_id long")
+    assert search.only_video(f, "a").count() == 1 and search.only_video(f, None).count() == 1
+    with pytest.raises(ValueError):
+        search.only_video(f, "b")
+    with pytest.raises(ValueError):
+        select.video_window(f.union(f), 1)
+
+
+def test_sources_are_asked_once_and_fall_back_to_the_query(spark):
+    q = spark.createDataFrame([(0, "a man wearing a hat. video title Aurora"), (1, "!!!"), (2, None)], "query_id long, query string")
+    got = search.source_queries(search.analysed(q)).orderBy("query_id", "place").collect()
+    assert [(r.query_id, r.source) for r in got if r.query_id == 0] == [(0, "object"), (0, "metadata")] or got[0].source == "visual"
+    assert [(r.source, r["query"]) for r in got if r.query_id == 2] == [("visual", "")]
+    weights = {r.source: r.metadata_weight for r in got if r.query_id == 0}
+    assert weights["metadata"] > 0.025
+
+
+def test_merged_results_take_the_best_of_each_source(spark):
+    rows = [(1, 0, "v", 3, 30, "", ["a"], 0.5, 0.1, 0.0, 0.4), (1, 1, "v", 3, 30, "T", ["b", "a"], 0.2, 0.9, 0.3, 0.6)]
+    df = spark.createDataFrame(rows, "query_id long, place int, video_id string, keyframe_number long, frame_id long, title string, labels array<string>, visual double, metadata double, object double, score double")
+    r = search.merged(df).first()
+    assert (r.title, r.labels, r.visual, r.metadata, r.object, r.score) == ("T", ["a", "b"], 0.5, 0.9, 0.3, 0.6)
+
+
+def test_kinds_answers_and_confidence(spark):
+    q = ["Bao nhiêu người?", "what is the man holding", "áo màu gì", "where", None, "the accountant"]
+    df = spark.createDataFrame([(x,) for x in q], "q string")
+    assert [r[0] for r in df.select(qa.question_kind("q")).collect()] == ["count", "holding", "appearance", "general", "general", "general"]
+    a = [("There are two people.", "count"), ("Answer: 12 or 13", "count"), ("the red-shirted person is holding a microphone.", "holding"), ("đáp án - ", "general"), (None, "count"), ("red", "general")]
+    got = [r[0] for r in spark.createDataFrame(a, "a string, k string").select(qa.normal_answer("a", "k")).collect()]
+    assert got == ["2", "12", "microphone", "unknown", "unknown", "red"]
+    p = spark.createDataFrame([([0.5, 0.5],), ([],), ([0.0],)], "p array<double>").select(qa.token_confidence("p")).collect()
+    assert [round(r[0], 9) for r in p] == [0.5, 0.0, 1e-8]
+    assert "Arabic integer" in df.select(qa.prompt("q")).first()[0]
+    s = spark.createDataFrame([("Trao giải. Câu hỏi: mấy người?",), ("plain",), (" Question: x",), (None,)], "q string").select(qa.split("q").alias("s")).collect()
+    assert [tuple(r.s) for r in s] == [("Trao giải", "mấy người?", ""), ("plain", "plain", ""), ("", "x", "half"), ("", "", "empty")]
+
+
+def test_blank_results_take_the_agreed_answer(spark):
+    results = spark.createDataFrame([(1, r, "v") for r in range(1, 5)] + [(2, 1, "w")], "query_id long, rank int, video_id string")
+    p = spark.createDataFrame([(1, 1, "Two", 0.4, "count"), (1, 2, "2", 0.5, "count"), (1, 3, "9", 0.6, "count")], "query_id long, rank int, answer string, confidence double, kind string")
+    got = {(r.query_id, r["rank"]): (r.answer, r.qa_confidence) for r in qa.filled(results, p).collect()}
+    assert got == {(1, 1): ("Two", 0.4), (1, 2): ("2", 0.5), (1, 3): ("9", 0.6), (1, 4): ("Two", 0.5), (2, 1): (None, None)}
+
+
+def test_answers_count_only_in_their_place(spark):
+    preds = spark.createDataFrame([(1, 1, "a", "505", "Năm"), (1, 2, "a", "600", "5"), (1, 3, "a", "x", "5"), (1, 4, "a", "505", "")], "query_id long, rank int, video_id string, frame_id string, answer string")
+    truth = spark.createDataFrame([(1, "a", 500, 510)], "query_id long, video_id string, start long, end long")
+    answers = spark.createDataFrame([(1, ["5", "five"])], "query_id long, answers array<string>")
+    assert [r.score for r in evaluation.qa_scores(preds, truth, answers).orderBy("rank").collect()] == [1.0, 0.0, 0.0, 0.0]
+
+
+def test_small_texts(spark):
+    df = spark.createDataFrame([("tìm cảnh",), ("tim canh bao",), ("a red car",), (None,)], "q string")
+    assert [r[0] for r in df.select(language.looks_vietnamese("q")).collect()] == [True, True, False, False]
+    t = language.for_model(df.withColumnRenamed("q", "query"), lambda q: q.filter("query like 'tim %'").withColumn("english", vector.F.lit("find")))
+    assert sorted((r["query"] or "", r.language, r.translated) for r in t.collect()) == [("", "en", False), ("a red car", "en", False), ("tim canh bao", "vi", True), ("tìm cảnh", "vi", False)]
+    w = spark.createDataFrame([("a landslide warning",), ("a sign that says landslide",), ("a car",)], "q string")
+    assert [r[0] for r in w.select(language.ambiguous_warning("q")).collect()] == [True, False, False]
+    assert [r[0] for r in spark.createDataFrame([("He LANDS softly",), ("người Tiếp đất",), ("run",)], "q string").select(language.landing("q")).collect()] == [True, True, False]
+    times = spark.createDataFrame([(0.0,), (61.5,), (-3.0,), (600.0625,)], "t double").select(language.time_label(vector.F.col("t")), *language.shown("t")).collect()
+    assert [r[0] for r in times] [:3] == ["00:00.000", "01:01.500", "00:00.000"]
+    assert times[3][1] == 600.062
+    r = spark.createDataFrame([(1, "L01", 7, 3, 0.5, 0.25, 0.1, 0.12345678, "T", ["a"] * 9, "x", 0.5), (2, "L01", 7, 3, 0.5, 0.25, 0.1, 0.5, "T", [], "", 0.0)], "rank int, video_id string, frame_id long, keyframe_number long, pts_time double, visual double, metadata double, score double, title string, labels array<string>, answer string, qa_confidence double")
+    c = [x[0] for x in r.select(language.caption()).collect()]
+    assert c[0] == "#1 | L01.mp4 | frame 7 | 0.50s | score 0.1235\nT\nObjects: a, a, a, a, a, a\nQ&A: x (50%)" and c[1].endswith("no object metadata")
+    assert language.table_row(r).first().score == 0.12346
+
+
+def test_model_scores_shift_clauses(spark):
+    df = spark.createDataFrame([("a quiet street", [(0.1, 0.9, 0.1, 0.1)])], "q string, m array<struct<visual:double,ocr:double,metadata:double,object:double>>")
+    df = df.withColumn("c", router.clauses("q"))
+    lexical, model = df.select(router.scored_clauses("c")[0].scores.ocr, router.scored_clauses("c", "m")[0].scores.ocr).first()
+    assert model > 0.5 > lexical
+
+
+def test_frame_text_is_split_by_place(spark):
+    box = lambda x0, y0, x1, y1, t, c=0.9: ([[x0, y0], [x1, y0], [x1, y1], [x0, y1]], t, c)
+    boxes = [box(20.0, 650.0, 1260.0, 700.0, " breaking news "), box(300.0, 180.0, 900.0, 270.0, "DANGER"), box(300.0, 300.0, 900.0, 380.0, "DANGER"), box(1.0, 1.0, 9.0, 9.0, "low", 0.1), ([[1.0]], "odd", 0.9), (None, "none", 0.9)]
+    df = spark.createDataFrame([(boxes,), (None,)], "b array<struct<polygon:array<array<double>>,text:string,confidence:double>>")
+    got = [tuple(r.f) for r in df.select(preprocess.frame_text("b", vector.F.lit(1280), vector.F.lit(720)).alias("f")).collect()]
+    assert got == [("DANGER odd none", "breaking news", 4, 1), ("", "", 0, 0)]
+
+
+def test_sequence_rerank_equals_plain_version(spark):
+    rng = random.Random(9)
+    frames = {v: rng.randint(6, 14) for v in "abcdefgh"}
+    value = {(v, k, e): rng.random() for v, n in frames.items() for k in range(n) for e in range(3)}
+    mapping = spark.createDataFrame([(v, k * 10, k) for v, n in frames.items() for k in range(n)], "video_id string, keyframe_number long, x long")
+    seqs = [(i + 1, v, rng.random(), sorted(rng.sample(range(frames[v]), 3))) for i, v in enumerate(frames)]
+    sequences = spark.createDataFrame([(r, v, s, [k * 10 for k in p]) for r, v, s, p in seqs], "rank int, video_id string, score double, keyframes array<long>")
+    events = spark.createDataFrame([(0, "a", False), (1, "b", False), (2, "lands", True)], "event int, stage string, landing boolean")
+    values = spark.createDataFrame([(v, k * 10, e, x) for (v, k, e), x in value.items()], "video_id string, keyframe_number long, event int, value double")
+    got = trake.rerank(sequences, events, mapping, lambda rows: rows.join(values, ["video_id", "keyframe_number", "event"]), pairs=15).orderBy("rank").collect()
+
+    low, high = min(s for _, _, s, _ in seqs), max(s for _, _, s, _ in seqs)
+    clip = {v: (s - low) / (high - low) for _, v, s, _ in seqs}
+    mix = lambda x: 0.72 * sum(x) / 3 + 0.28 * min(x)
+    score, path = {}, {v: p for _, v, _, p in seqs}
+    centre = [v for _, v, _, _ in seqs[:5]]
+    for v in frames:
+        score[v] = 0.85 * mix([value[v, k, e] for e, k in enumerate(path[v])]) + 0.15 * clip[v] if v in centre else 0.35 * clip[v]
+    for v in sorted(centre, key=lambda v: -score[v])[:3]:
+        choices = [[k for k in range(frames[v]) if abs(k - c) <= 2 + (e == 2)] for e, c in enumerate(path[v])]
+        path[v] = max((p for p in itertools.product(*choices) if p[0] < p[1] < p[2]), key=lambda p: sum(value[v, k, e] for e, k in enumerate(p)))
+        score[v] = 0.88 * mix([value[v, k, e] for e, k in enumerate(path[v])]) + 0.12 * clip[v]
+    want = [(v, round(score[v], 9), [k * 10 for k in path[v]]) for v in sorted(frames, key=lambda v: -score[v])]
+    assert [(r.video_id, round(r.score, 9), list(r.keyframes)) for r in got] == want
+
+
+def test_runs_are_summed_up(spark):
+    df = spark.createDataFrame([("q", 1.0), ("q", 3.0)], "query string, seconds double")
+    assert tuple(evaluation.run_summary(df).first()) == ("q", 2.0, 1.0)
+    stats = preprocess.index_statistics(spark.createDataFrame([], "schema int")).first()
+    assert tuple(stats) == (0, 2, 0)
+    t = spark.createDataFrame([("x", 0.5, 2), ("x", 0.4, 2), ("x", 1.0, 1), (None, 1.0, 2)], "t string, q double, s int")
+    assert [r[0] for r in t.select(preprocess.trusted_text("t", "q", "s")).collect()] == ["x", "", "", ""]
+    assert t.select(preprocess.record_quality(vector.F.col("q"), vector.F.lit(0.45))).first()[0] == 0.45
