@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -13,17 +13,18 @@ def _signature(edges: DataFrame) -> tuple:
     return row[0], row[1]
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, scratch: Scratch | None = None, name: str = "links") -> DataFrame:
     """Rows (node, component) for every node of `links` (u, v: long); the component is its smallest node.
 
     Null ends and self links are ignored; repeated links count once; no links
     give no rows. Each step is one or two group-by joins over the links, which
-    shrink to stars; tables between steps are written to the shared folder.
+    shrink to stars; tables between steps are written to the shared folder,
+    where only the last stays, under `name` in `scratch` if that is given.
     A hub's neighbours stay rows and are never gathered into one list.
     """
+    scratch = scratch or Scratch(links.sparkSession, "components")
     edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    edges = edges.filter("u > v").distinct()
-    edges = materialize(edges, "links")
+    edges = scratch.write(edges.filter("u > v").distinct(), name)
     before = None
     while (now := _signature(edges)) != before and now[0]:
         before = now
@@ -34,6 +35,6 @@ def connected_components(links: DataFrame) -> DataFrame:
         # small star: every smaller neighbour of a node goes to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.filter("u > v").distinct(), "links")
+        edges = scratch.write(small.filter("u > v").distinct(), name)
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
