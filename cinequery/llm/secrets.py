@@ -5,8 +5,10 @@ and long hexadecimal runs. Weak candidates, a random-looking token without a
 keyword or an endpoint, are reported only when a complementary part lies within
 `scope` code points of them: an access identifier for a token, an access
 identifier or an assignment for an endpoint. The interval join runs inside the
-row, as two folds over the parts in order of their start, so it needs no
-shuffle and takes time linear in the parts.
+row: parts are sorted by their start, and two sweeps over them, one each way,
+tell which weak ones have an anchor near. It needs no shuffle, and a part costs
+the sort and two steps. What a fold gathers is held in blocks, so that a step
+does not copy all that was gathered before.
 """
 
 from __future__ import annotations
@@ -22,10 +24,29 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 #: Weak kinds.
 TOKEN = r"[A-Za-z0-9+/]{32,}"
-ENDPOINT = r"[a-z][a-z0-9+.-]*://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+"
+#: A scheme has 16 characters at most, so that a long run of letters is not read again from each of them.
+ENDPOINT = r"[a-z][a-z0-9+.-]{0,15}://[A-Za-z0-9._~:/?#@!$&*+,;=%-]+"
 MIN_ASSIGNED = 6
 KINDS = ("assign", "access", "hex", "token", "endpoint")
 SPAN = "array<struct<start:int,end:int,kind:int>>"
+#: Entries that a fold gathers before it closes a block; code points in a piece of a text.
+BLOCK, PIECE = 256, 4096
+
+
+def gathered(items: str, state: str, step: str, entry: str, kind: str) -> str:
+    """SQL: the entries of a fold over `items`, in order.
+
+    `state` is the fold's first state, `step` its next one and `entry` what it
+    adds (null: nothing), both from state `s.st` and item `x`.
+    """
+    empty = f"CAST(array() AS array<{kind}>)"
+    return f"""flatten(aggregate({items},
+      named_struct('st', {state}, 'done', CAST(array() AS array<array<{kind}>>), 'part', {empty}),
+      (s, x) -> named_struct(
+        'st', {step},
+        'done', IF(size(s.part) >= {BLOCK}, array_append(s.done, s.part), s.done),
+        'part', IF(size(s.part) >= {BLOCK}, filter(array({entry}), e -> e IS NOT NULL), IF(({entry}) IS NULL, s.part, array_append(s.part, {entry})))),
+      s -> array_append(s.done, s.part)))"""
 
 
 def _matches(text: str, pattern: str, kind: str) -> Column:
@@ -35,17 +56,11 @@ def _matches(text: str, pattern: str, kind: str) -> Column:
     pieces and i matches. Texts without a match skip the fold.
     """
     k = KINDS.index(kind)
-    sql = f"""
-      CASE WHEN {text} RLIKE r'''{pattern}''' THEN
-        aggregate(
-          arrays_zip(split({text}, r'''{pattern}''', -1), regexp_extract_all({text}, r'''{pattern}''', 0)),
-          named_struct('at', 0, 'out', CAST(array() AS array<struct<start:int,end:int,kind:int,found:string>>)),
-          (s, x) -> named_struct(
-            'at', s.at + length(x.`0`) + coalesce(length(x.`1`), 0),
-            'out', IF(x.`1` IS NULL, s.out, array_append(s.out, named_struct('start', s.at + length(x.`0`), 'end', s.at + length(x.`0`) + length(x.`1`), 'kind', {k}, 'found', x.`1`)))),
-          s -> s.out)
-      ELSE CAST(array() AS array<struct<start:int,end:int,kind:int,found:string>>) END"""
-    return F.expr(_quoted(sql, pattern))
+    found = "struct<start:int,end:int,kind:int,found:string>"
+    entry = f"IF(x.`1` IS NULL, NULL, named_struct('start', s.st + length(x.`0`), 'end', s.st + length(x.`0`) + length(x.`1`), 'kind', {k}, 'found', x.`1`))"
+    parts = f"arrays_zip(split({text}, r'''{pattern}''', -1), regexp_extract_all({text}, r'''{pattern}''', 0))"
+    fold = gathered(parts, "0", "s.st + length(x.`0`) + coalesce(length(x.`1`), 0)", entry, found)
+    return F.expr(_quoted(f"CASE WHEN {text} RLIKE r'''{pattern}''' THEN {fold} ELSE CAST(array() AS array<{found}>) END", pattern))
 
 
 def _quoted(sql: str, pattern: str) -> str:
@@ -55,22 +70,21 @@ def _quoted(sql: str, pattern: str) -> str:
 
 
 def _near(weak: str, anchors: str, scope: int) -> Column:
-    """Of the spans `weak`, those within `scope` of one of `anchors`: an anchor before is met in a fold by start, one after in a fold back."""
+    """Of the spans `weak`, those within `scope` of one of `anchors`: a sweep by start sees the anchors before, one back those after."""
+    item = lambda w: f"x -> named_struct('start', x.start, 'weak', {w}, 'end', x.end, 'kind', x.kind)"
+    both = f"array_sort(concat(transform({anchors}, {item('false')}), transform({weak}, {item('true')})))"
+    none = "CAST(NULL AS int)"
+    ahead = gathered("items", none, "IF(x.weak, s.st, greatest(s.st, x.end))", f"coalesce(x.weak AND x.start - s.st <= {scope}, false)", "boolean")
+    back = gathered("reverse(items)", none, "IF(x.weak, s.st, x.start)", f"coalesce(x.weak AND s.st - x.end <= {scope}, false)", "boolean")
+    kept = "transform(filter(arrays_zip(items, AHEAD, reverse(BACK)), z -> z.`1` OR z.`2`), z -> named_struct('start', z.items.start, 'end', z.items.end, 'kind', z.items.kind))"
+    kept = kept.replace("AHEAD", ahead).replace("BACK", back)
+    return F.expr(f"IF(size({weak}) = 0 OR size({anchors}) = 0, CAST(array() AS {SPAN}), transform(array({both}), items -> {kept})[0])")
 
-    def sweep(before: str, seen: str, close: str) -> str:
-        order = f"(a, b) -> CASE WHEN a.start {before} b.start THEN -1 WHEN a.start != b.start THEN 1 WHEN a.anchor = b.anchor THEN 0 WHEN a.anchor THEN -1 ELSE 1 END"
-        return f"""
-          aggregate(array_sort({both}, {order}),
-            named_struct('seen', CAST(NULL AS int), 'out', CAST(array() AS {SPAN})),
-            (s, x) -> named_struct(
-              'seen', IF(x.anchor, {seen}, s.seen),
-              'out', IF(NOT x.anchor AND s.seen IS NOT NULL AND {close}, array_append(s.out, x.span), s.out)),
-            s -> s.out)"""
 
-    both = f"concat(transform({anchors}, x -> named_struct('start', x.start, 'anchor', true, 'span', x)), transform({weak}, x -> named_struct('start', x.start, 'anchor', false, 'span', x)))"
-    ahead = sweep("<", "greatest(s.seen, x.span.end)", f"x.start - s.seen <= {scope}")
-    back = sweep(">", "x.start", f"s.seen - x.span.end <= {scope}")
-    return F.expr(f"IF(size({weak}) = 0 OR size({anchors}) = 0, CAST(array() AS {SPAN}), array_union({ahead}, {back}))")
+def _sorted(*spans: str) -> Column:
+    """The spans of several arrays by start, then kind."""
+    keyed = F.array_sort(F.transform(F.concat(*spans), lambda x: F.struct(x.start.alias("start"), x.kind.alias("kind"), x.end.alias("end"))))
+    return F.transform(keyed, lambda x: F.struct(x.start.alias("start"), x.end.alias("end"), x.kind.alias("kind")))
 
 
 def _scan(d: DataFrame, scope: int) -> DataFrame:
@@ -88,9 +102,7 @@ def _scan(d: DataFrame, scope: int) -> DataFrame:
         plain("m_endpoint").alias("endpoint"),
     )
     linked = found.select("row", "text", "assign", "access", "hex", _near("token", "access", scope).alias("token"), _near("endpoint", "concat(access, assign)", scope).alias("endpoint"))
-    base = F.array_sort(F.concat("assign", "access", "hex"), _by_start)
-    every = F.array_sort(F.concat("assign", "access", "hex", "token", "endpoint"), _by_start)
-    return linked.select("row", "text", base.alias("base"), every.alias("spans"))
+    return linked.select("row", "text", _sorted("assign", "access", "hex").alias("base"), _sorted("assign", "access", "hex", "token", "endpoint").alias("spans"))
 
 
 def redact(docs: DataFrame, scope: int = 256, mask: str = "[SECRET]") -> DataFrame:
@@ -119,10 +131,6 @@ def scan(docs: DataFrame, scope: int = 256) -> DataFrame:
     return _scan(d, scope).withColumnRenamed("row", "doc_id")
 
 
-def _by_start(a: Column, b: Column) -> Column:
-    return F.when(a.start != b.start, a.start - b.start).otherwise(a.kind - b.kind)
-
-
 def spelled(spans: str) -> Column:
     """Spans as kind:start:end, comma-joined."""
     names = F.array(*map(F.lit, KINDS))
@@ -137,13 +145,18 @@ def counted(found: DataFrame) -> DataFrame:
 
 def redacted(mask: str = "[SECRET]") -> Column:
     """The column `text` with every stretch covered by the column `spans` replaced by `mask`."""
-    fold = f"""aggregate(spans,
-        named_struct('at', 0, 'out', CAST(array() AS array<string>)),
-        (s, x) -> named_struct(
-          'at', greatest(s.at, x.end),
-          'out', IF(x.start >= s.at, array_append(array_append(s.out, substring(text, s.at + 1, x.start - s.at)), '{mask}'), s.out)),
-        s -> concat(array_join(s.out, ''), substring(text, s.at + 1)))"""
-    return F.expr(f"IF(size(spans) = 0, text, {fold})")
+    # stretches that no span covers, from the end of those before to a start; the last one ends the text
+    merged = gathered("spans", "0", "greatest(s.st, x.end)", "IF(x.start >= s.st, named_struct('a', s.st, 'b', x.start), NULL)", "struct<a:int,b:int>")
+    piece = lambda at: f"coalesce(get(t.pieces, {at}), '')"
+    first, last = f"g.a div {PIECE}", f"g.b div {PIECE}"
+    within = f"substring({piece(f'int({first})')}, g.a % {PIECE} + 1, g.b - g.a)"
+    across = f"concat(substring({piece(f'int({first})')}, g.a % {PIECE} + 1), array_join(slice(t.pieces, int({first}) + 2, greatest(int({last} - {first}) - 1, 0)), ''), substring({piece(f'int({last})')}, 1, g.b % {PIECE}))"
+    gaps = f"transform({merged}, g -> IF({first} = {last}, {within}, {across}))"
+    end = "aggregate(spans, 0, (s, x) -> greatest(s, x.end))"
+    tail = f"transform(array(named_struct('a', {end}, 'b', length(text))), g -> IF({first} = {last}, {within}, {across}))[0]"
+    # texts are cut once, so that a stretch is found without a walk from the text's start
+    cut = f"array(named_struct('pieces', regexp_extract_all(text, '(?s).{{1,{PIECE}}}', 0)))"
+    return F.expr(f"IF(size(spans) = 0, text, transform({cut}, t -> concat(array_join({gaps}, '{mask}'), '{mask}', {tail}))[0])")
 
 
 def oracle(scope: int = 256) -> str:
