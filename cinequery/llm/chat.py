@@ -8,6 +8,7 @@ that the output can be read back without loss.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -28,8 +29,8 @@ class Mapping:
 
     `turns`: the path of the list of messages ('' if the fields are the record's
     own). `fields`: (role, text path) pairs; a role written '@path' is read from
-    the message. `names`: other names of roles. `join`: fields whose non-empty
-    texts go into one turn with the one before.
+    the message. `join`: fields whose non-empty texts go into one turn with the
+    one before. `renamed`: whether the layout has names of its own for roles.
     """
 
     name: str
@@ -37,6 +38,7 @@ class Mapping:
     turns: str
     fields: tuple[tuple[str, str], ...]
     join: tuple[str, ...] = ()
+    renamed: bool = False
 
 
 #: Fixed names that layouts use for roles.
@@ -44,7 +46,9 @@ ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model":
 MAPPINGS = (
     Mapping("turn_rows", ("conv_id", "role", "text", "turn"), "", (("@role", "text"),)),
     Mapping("messages", ("messages[].content", "messages[].role"), "messages", (("@role", "content"),)),
-    Mapping("from_value", ("conversations[].from", "conversations[].value"), "conversations", (("@from", "value"),)),
+    Mapping("from_value", ("conversations[].from", "conversations[].value"), "conversations", (("@from", "value"),), renamed=True),
+    Mapping("message", ("content", "role"), "", (("@role", "content"),)),
+    Mapping("from_value_turn", ("from", "value"), "", (("@from", "value"),), renamed=True),
     Mapping("instruction", ("input", "instruction", "output"), "", (("user", "instruction"), ("user", "input"), ("assistant", "output")), ("input",)),
     Mapping("instruction_only", ("instruction", "output"), "", (("user", "instruction"), ("assistant", "output"))),
     Mapping("prompt_completion", ("completion", "prompt"), "", (("user", "prompt"), ("assistant", "completion"))),
@@ -79,11 +83,19 @@ def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
+#: Every set of paths that some mapping knows, widest first: what a layout is cut to before it is looked up.
+_KNOWN = sorted({frozenset(m.paths) for m in MAPPINGS}, key=lambda x: (-len(x), sorted(x)))
+
+
+@functools.lru_cache(maxsize=10_000)
+def _selected(paths: frozenset[str]) -> Mapping | None:
+    cuts = [paths, *(paths & known for known in _KNOWN)]
+    return next((m for c in cuts if (m := BY_FINGERPRINT.get(fingerprint(tuple(c))))), None)
+
+
 def select_mapping(paths: list[str]) -> Mapping | None:
-    """The mapping with these very paths; else the one with most paths among them (extra fields are ignored); else none."""
-    exact = BY_FINGERPRINT.get(fingerprint(paths))
-    inside = [m for m in MAPPINGS if set(m.paths) <= set(paths)]
-    return exact or max(inside, key=lambda m: len(m.paths), default=None)
+    """The mapping whose fingerprint these paths have; else, extra fields left out, the one with most paths; else none."""
+    return _selected(frozenset(paths))
 
 
 def _get(record: object, path: str) -> object:
@@ -103,7 +115,7 @@ def canonical_turns(record: dict) -> tuple[str | None, list[tuple[str, str]]]:
             value = _get(message, path)
             text = "" if value is None else value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
             role = str(_get(message, role[1:]) or "") if role[0] == "@" else role
-            role = ROLE_NAMES.get(role, role)
+            role = ROLE_NAMES.get(role, role) if mapping.renamed else role
             if path in mapping.join:
                 if text:
                     turns[-1] = (turns[-1][0], f"{turns[-1][1]}\n{text}")
@@ -165,6 +177,45 @@ def format_records(records: DataFrame, column: str = "record") -> DataFrame:
     return project(records, **{column: "string"}).mapInArrow(run, "record string, layout string, formatted string, loss array<struct<start:int,end:int>>")
 
 
+def canonical_rows(records: DataFrame) -> DataFrame:
+    """Turns of JSON records (conv_id, turn, record) of any known layout: (conv_id, turn, part, role, text), a record's turns as parts 0, 1, ..
+
+    Each record's layout is told by its own fingerprint. Null, malformed and
+    unknown records have no turns. No shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            for conv, turn, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                try:
+                    record = json.loads(raw.as_py() or "")
+                except ValueError:
+                    continue
+                if isinstance(record, dict):
+                    out += [(conv, turn, k, role, text) for k, (role, text) in enumerate(canonical_turns(record)[1])]
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["conv_id", "turn", "part", "role", "text"])
+
+    d = project(records, conv_id="long", turn="long", record="string")
+    return d.mapInArrow(run, "conv_id long, turn long, part int, role string, text string")
+
+
+def as_records(rows: DataFrame) -> DataFrame:
+    """Turn rows as JSON records (conv_id, turn, record) in three layouts by conversation; only users and assistants have a second name."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    options = {"ignoreNullFields": "false"}
+    layouts = (
+        F.to_json(F.struct(role.alias("role"), text.alias("content")), options),
+        F.to_json(F.struct(F.when(role == "user", "human").otherwise("gpt").alias("from"), text.alias("value")), options),
+        F.to_json(F.struct("conv_id", "turn", role.alias("role"), text.alias("text")), options),
+    )
+    kind = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(3))
+    record = F.when((kind == 1) & role.isin("user", "assistant"), layouts[1]).when(kind == 2, layouts[2]).otherwise(layouts[0])
+    return rows.select("conv_id", "turn", record.alias("record"))
+
+
 def format_turns(rows: DataFrame) -> DataFrame:
     """Conversations kept as turn rows, formatted: (conv_id, turn, role, formatted, loss boolean), one row a turn.
 

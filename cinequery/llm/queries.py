@@ -15,18 +15,22 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows for every fiftieth vector. Vectors that are null or not whole, and null ids, take no part; rows equal in id and values count once."""
     return topk.exact_topk(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document, with linked weak parts; null texts are empty, repeated rows stay."""
     return secrets.counted(secrets.scan(table(spark, sf_dir, "documents")))
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.conversation_digests(chat.format_turns(chat.with_planted(table(spark, sf_dir, "conversations"))))
+    """Digests of every conversation and the planted one, read back from their formatted text. Turns come as records of three layouts; null texts and roles are empty, a null conv_id is one conversation."""
+    return chat.conversation_digests(chat.format_turns(chat.canonical_rows(chat.as_records(chat.with_planted(table(spark, sf_dir, "conversations"))))))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot by the law `rows`; null texts have size 1, repeated rows get slots of their own."""
     d = project(table(spark, sf_dir, "documents"), doc_id="long", text="string")
     d = d.withColumn("size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"))
     out = shuffle.shuffled_shards(d, "size", ["doc_id", "text"], shards=8)
@@ -34,26 +38,32 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words kept of every document when windows of 20 that start earlier elsewhere are cut; null texts have no words."""
     return substring.kept_digest(substring.substring_dedup(table(spark, sf_dir, "documents")))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of toxicity for every document, with its offending sentences; empty texts score 0."""
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, copied or edited, and where; empty texts and items are in no row."""
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and whether they decode to its text; null and empty texts have none."""
     return sentencepiece.tokenize(table(spark, sf_dir, "documents"), MODEL_PATH)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component; texts without words have fingerprint zero."""
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of quality for every document, empty ones too."""
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
@@ -62,10 +72,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 TOPK_SQL = """
-WITH v AS (SELECT vec_id::BIGINT AS vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+WITH v AS (SELECT DISTINCT vec_id::BIGINT AS vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+s AS (SELECT q.vec_id AS query_id, q.e AS qe, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND (q.vec_id <> c.vec_id OR q.e <> c.e))
+SELECT query_id, row_number() OVER (PARTITION BY query_id, qe ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """
 
