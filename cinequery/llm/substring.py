@@ -170,36 +170,58 @@ def _index_pieces(group: list[tuple[bytes, tuple]], window: int, out: _Repeats)
 
 
 def repeats(blobs: DataFrame, window: int) -> DataFrame:
-    """Rows (doc, hash, start, mask): windows start + i, for each bit i of mask, that also start earlier."""
+    """Rows (doc, hash, start, mask): windows start + i, for each bit i of mask, that also start earlier.
+
+    `blobs` (shard, blob) come with a shard's rows side by side; what a shard
+    held is let go as the next one begins.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, out = zstandard.ZstdDecompressor(), _Repeats()
-        least: dict[bytes, tuple] = {}  # each different piece, at its earliest place
-        keys: dict[bytes, int] = {}
-        inner: set[bytes] = set()  # may repeat a window within itself
+        press, out, pieces, now = zstandard.ZstdDecompressor(), _Repeats(), _Pieces(), None
         for b in batches:
-            for blob in b.column(1):
-                head, raw = _unpack(blob.as_py(), press)
-                at = 0
-                for doc, whole, start, size, length, key, twice in head.tolist():
-                    piece = raw[at : at + length]
-                    at += length
-                    now, was = (doc, start, whole, size), least.get(piece)
-                    if was is None:
-                        least[piece], keys[piece] = now, key
-                        if twice:
-                            inner.add(piece)
-                        continue
-                    if now[:2] < was[:2]:
-                        least[piece], now = now, was
-                    if now[:2] != least[piece][:2]:
-                        out.add(now[0], now[2], now[1], (1 << now[3]) - 1)
+            for shard, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if shard != now and now is not None:
+                    yield from pieces.close(window, out)
+                    pieces = _Pieces()
+                now = shard
+                pieces.add(*_unpack(blob.as_py(), press), out)
                 if len(out.rows) > 50_000:
                     yield out.batch()
+        yield from pieces.close(window, out)
+
+    return blobs.mapInArrow(run, "doc long, hash long, start int, mask long")
+
+
+class _Pieces:
+    """A shard's different pieces, each at its earliest place."""
+
+    def __init__(self):
+        self.least: dict[bytes, tuple] = {}
+        self.keys: dict[bytes, int] = {}
+        self.inner: set[bytes] = set()  # may repeat a window within itself
+
+    def add(self, head: np.ndarray, raw: bytes, out: _Repeats) -> None:
+        least, at = self.least, 0
+        for doc, whole, start, size, length, key, twice in head.tolist():
+            piece = raw[at : at + length]
+            at += length
+            now, was = (doc, start, whole, size), least.get(piece)
+            if was is None:
+                least[piece], self.keys[piece] = now, key
+                if twice:
+                    self.inner.add(piece)
+                continue
+            if now[:2] < was[:2]:
+                least[piece], now = now, was
+            if now[:2] != least[piece][:2]:
+                out.add(now[0], now[2], now[1], (1 << now[3]) - 1)
+
+    def close(self, window: int, out: _Repeats) -> Iterator[pa.RecordBatch]:
+        """Finds what different pieces share, minimizer by minimizer, in indexes of bounded size."""
         counts: dict[int, int] = {}
-        for key in keys.values():
+        for key in self.keys.values():
             counts[key] = counts.get(key, 0) + 1
-        shared = sorted((keys[p], p) for p in least if counts[keys[p]] > 1 or p in inner)
+        shared = sorted((self.keys[p], p) for p in self.least if counts[self.keys[p]] > 1 or p in self.inner)
         group: list[tuple[bytes, tuple]] = []
         words, last = 0, None
         for key, p in shared:
@@ -208,14 +230,12 @@ def repeats(blobs: DataFrame, window: int) -> DataFrame:
                 group, words = [], 0
                 yield out.batch()
             last = key
-            group.append((p, least[p]))
-            words += least[p][3] + window
+            group.append((p, self.least[p]))
+            words += self.least[p][3] + window
         if group:
             _index_pieces(group, window, out)
         yield out.batch()
 
-    return blobs.mapInArrow(run, "doc long, hash long, start int, mask long")
-
 
 def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, kept_text): each document without the words of repeated windows.
@@ -232,7 +252,8 @@ def substring_dedup(docs: DataFrame, window: int = 20) -> DataFrame:
         raise ValueError(f"window must be {GRAM} or more")
     docs = project(docs, doc_id="long", text="string")
     shards = max(8, -(-3 * text_bytes(docs) // PIECE_BYTES_PER_SHARD)) * 2
-    found = repeats(pieces(docs, window, shards).repartition("shard"), window)
+    # a partition a shard: memory is bounded by shards, whatever their number
+    found = repeats(pieces(docs, window, shards).repartition(shards, "shard").sortWithinPartitions("shard"), window)
     found = materialize(found, "repeats")
     by_doc = found.groupBy("doc", "hash").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
 
