@@ -1,20 +1,22 @@
 """Exact top-k inner products over an impact-ordered index, processed score at a time.
 
-Vectors are quantised to integers and cut into shards; queries into blocks.
-Each (shard, block) pair is one bounded group. A shard's index holds, for each
-dimension, its postings in segments of falling value. For a query, a segment's
+Vectors are quantised to integers and cut into shards. A shard's index is built
+once and holds, for each dimension, its postings in segments of falling value;
+all queries stream past it in batches. For a query, a segment's
 quantised impact is the most that a posting in it can add to the score. Segments
 are taken by falling impact; every vector has an upper bound, made of the
 impacts read and, for dimensions still to come, the largest impact unread there.
 Reading stops only once the vectors whose bound reaches the k-th best exact score
-found so far are few; they are then scored exactly. Queries of a block share each
+found so far are few; they are then scored exactly. Queries of a batch share each
 pass, which is one matrix product of impacts and segment membership.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,57 +102,86 @@ class ImpactIndex:
         return rows, self.vectors[rows] @ q, read
 
 
-def _best(vectors: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    out = {"query_id": [], "vec_id": [], "score": []}
-    if len(vectors) and len(queries):
-        dims = max(map(len, [*vectors.vec, *queries.vec]))
-
-        def stack(rows: pd.Series) -> np.ndarray:
-            m = np.zeros((len(rows), dims), np.int64)
-            for i, r in enumerate(rows):
-                m[i, : len(r)] = r
-            return m
-
-        ids = vectors.vec_id.to_numpy()
-        place = {v: i for i, v in enumerate(ids.tolist())}
-        own = np.array([place.get(q, -1) for q in queries.vec_id.tolist()])
-        found = ImpactIndex(stack(vectors.vec)).search_all(stack(queries.vec), k, own)
-        for qid, (rows, scores, _) in zip(queries.vec_id.tolist(), found, strict=True):
-            keep = np.lexsort((ids[rows], -scores))[:k]
-            out["query_id"] += [qid] * len(keep)
-            out["vec_id"] += ids[rows[keep]].tolist()
-            out["score"] += scores[keep].tolist()
-    return pd.DataFrame(out).astype("int64")
+def _stack(rows: pa.Array, dims: int) -> np.ndarray:
+    """Vectors as a matrix of `dims` columns, shorter ones padded with 0; what is longer is cut (the rest meets only padding)."""
+    sizes, flat = np.diff(rows.offsets.to_numpy()), rows.flatten().to_numpy()
+    out = np.zeros((len(rows), dims), np.int64)
+    inside = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    row, keep = np.repeat(np.arange(len(rows)), sizes), inside < dims
+    out[row[keep], inside[keep]] = flat[keep]
+    return out
+
+
+def _search_shards(k: int):
+    """For batches (shard, kind, vec_id, row, vec) sorted by shard and kind, vectors (0) before queries (1): each query's best in each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, own_rows, vectors, index, place = None, [], [], [], None, {}
+        for b in batches:
+            kinds, shards = b.column(1).to_numpy(), b.column(0).to_numpy()
+            ends = [*(np.flatnonzero((np.diff(shards) != 0) | (np.diff(kinds) != 0)) + 1).tolist(), b.num_rows]
+            for start, end in zip([0, *ends[:-1]], ends, strict=True):
+                if start == end:
+                    continue
+                part = b.slice(start, end - start)
+                if shards[start] != now:
+                    now, ids, own_rows, vectors, index, place = shards[start], [], [], [], None, {}
+                if kinds[start] == 0:
+                    ids.append(part.column(2).to_numpy())
+                    own_rows.append(part.column(3).to_numpy())
+                    vectors.append(part.column(4))
+                    continue
+                if not ids:
+                    continue  # queries of a shard without vectors
+                if index is None:
+                    ids = [np.concatenate(ids)]
+                    dims = max(int(np.diff(v.offsets.to_numpy()).max()) for v in vectors)
+                    index = ImpactIndex(np.vstack([_stack(v, dims) for v in vectors]))
+                    place, vectors = {v: i for i, v in enumerate(np.concatenate(own_rows).tolist())}, []
+                queries = part.column(3).to_pylist()
+                own = np.array([place.get(q, -1) for q in queries])
+                out: list[list] = [[], [], [], []]
+                for qid, q, (rows, scores, _) in zip(part.column(2).to_pylist(), queries, index.search_all(_stack(part.column(4), index.vectors.shape[1]), k, own), strict=True):
+                    keep = np.lexsort((ids[0][rows], -scores))[:k]
+                    out[0] += [qid] * len(keep)
+                    out[1] += [q] * len(keep)
+                    out[2] += ids[0][rows[keep]].tolist()
+                    out[3] += scores[keep].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["query_id", "row", "vec_id", "score"])
+
+    return run
 
 
 def quantise(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """Rows (vec_id, vec array<long>) with floor(scale * x); vectors that are null or hold null, NaN or infinite values go.
+    """Rows (vec_id, row, vec array<long>) with floor(scale * x); vectors that are null or hold null, NaN or infinite values go.
 
-    A vec_id that repeats keeps its smallest vector; a null vec_id goes.
+    Rows equal in id and values count once; rows that share a vec_id with other
+    values are rows of their own, told apart by `row`, a hash of both. A null
+    vec_id goes.
     """
     v = project(vectors, vec_id="long", embedding="array<double>")
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     q = v.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(sound)
     q = q.select("vec_id", F.transform("embedding", lambda x: F.floor(x * F.lit(float(scale))).cast("long")).alias("vec"))
-    return q.groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    return q.distinct().select("vec_id", F.xxhash64("vec_id", "vec").alias("row"), "vec")
 
 
-def exact_topk(vectors: DataFrame, query_filter: str, k: int = 5, scale: int = 256, shard_rows: int = 8192, block_rows: int = 1024) -> DataFrame:
+def exact_topk(vectors: DataFrame, query_filter: str, k: int = 5, scale: int = 256, shard_rows: int = 32768) -> DataFrame:
     """The k best rows for each query row: (query_id, rank, vec_id, score).
 
     Queries are rows for which the SQL text `query_filter` over vec_id holds; a
-    query is not its own candidate. Ties go to the smaller vec_id; fewer than k
-    candidates give all. Shorter vectors count as padded with 0. Empty tables
-    give no rows; extra columns are not read. `shard_rows` and `block_rows`
-    bound a group; blocks times shards of them are searched, all rows in each.
+    query row is not its own candidate. Ties go to the smaller vec_id; fewer than k
+    candidates give all. Query rows that share a vec_id are ranked apart. Shorter vectors count as padded with 0. Empty tables
+    give no rows; extra columns are not read. `shard_rows` bounds a shard, of
+    which a task holds one at a time; each query visits every shard.
     """
     rows = quantise(vectors, scale)
-    n, nq = rows.agg(F.count("*"), F.count_if(F.expr(query_filter))).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-nq // block_rows))
-    spread = lambda what, parts, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(parts)).cast("int").alias(what)
-    copies = lambda what, parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias(what)
-    left = rows.select("vec_id", "vec", spread("shard", shards, 1), copies("block", blocks))
-    right = rows.filter(query_filter).select("vec_id", "vec", spread("block", blocks, 2), copies("shard", shards))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(lambda a, b: _best(a, b, k), "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    shards = max(1, -(-rows.count() // shard_rows))
+    own = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)).cast("int").alias("shard")
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    left = rows.select(own, F.lit(0).alias("kind"), "vec_id", "row", "vec")
+    right = rows.filter(query_filter).select(every, F.lit(1).alias("kind"), "vec_id", "row", "vec")
+    tagged = left.unionByName(right.select("shard", "kind", "vec_id", "row", "vec")).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "vec_id")
+    found = tagged.mapInArrow(_search_shards(k), "query_id long, row long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
