@@ -1,7 +1,7 @@
 """Quality by positive-unlabelled learning with the non-negative risk estimator.
 
 Trusted positives are labelled good documents; the rest of the corpus is
-unlabelled. With class prior pi, the risk of a scorer is
+unlabelled. The class prior pi is estimated from the two. With it, the risk of a scorer is
 pi R_p(+) + max(0, R_u(-) - pi R_p(-)), the second term being an unbiased
 estimate of the negatives' risk that is kept from falling below zero. The
 scorer is a logistic model over binned measures of a text's shape, so its
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import project
-from .labels import allowed_labels, bucket, sampled, texts_of
+from .labels import allowed_labels, is_held_out, one_text_each, sampled
 
 #: Trusted positives and unlabelled documents that fit the model, at most.
 POSITIVES, UNLABELLED = 3000, 6000
@@ -89,17 +89,57 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(edges, [theta[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)], float(theta[-1]))
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 4, confidence: float = 0.05) -> float:
+    """The share of positives among unlabelled rows, by the best bin: the least ratio of the shares of unlabelled and positive rows above a score.
+
+    Scores tell positives from unlabelled rows and come from models that have
+    not seen them, fold by fold. No score's ratio can lie below the share, and
+    where only positives reach a score it meets it; each ratio is taken with the
+    slack that so few rows leave, so that chance does not choose it. Without rows
+    on both sides it is 0.5.
+    """
+    if len(positive) < folds or len(unlabelled) < folds:
+        return 0.5
+    sp, su = np.zeros(len(positive)), np.zeros(len(unlabelled))
+    for k in range(folds):
+        outp, outu = np.arange(len(positive)) % folds == k, np.arange(len(unlabelled)) % folds == k
+        model = fit(positive[~outp], unlabelled[~outu], 0.5, steps=300)
+        sp[outp], su[outu] = model.scores(positive[outp]), model.scores(unlabelled[outu])
+    cuts = np.quantile(sp, np.linspace(0.05, 0.99, 95))
+    above_p = np.array([(sp >= c).mean() for c in cuts])
+    above_u = np.array([(su >= c).mean() for c in cuts])
+    slack = np.sqrt(np.log(4 / confidence) / (2 * len(su))) + np.sqrt(np.log(4 / confidence) / (2 * len(sp)))
+    keep = above_p > slack
+    ratio = above_u[keep] / above_p[keep]
+    if not len(ratio):
+        return 0.5
+    best = np.argmin(ratio + slack * (1 + ratio) / above_p[keep])
+    return float(np.clip(ratio[best], 0.01, 0.99))
+
+
+def measured(docs: DataFrame, ids: DataFrame) -> np.ndarray:
+    """The measures of the documents in `ids`, whose row count the caller has bounded, in an order by hash; texts stay on the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [measures(t.as_py()) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "x"])
+
+    found = one_text_each(docs, ids).select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
+    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id").select("x").toArrow().column(0).to_pylist()
+    return np.array(rows, float).reshape(-1, N_MEASURES)
+
+
 def train(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """Fits on bounded samples; the prior is the share of good among all labelled documents outside the held-out fold, which are taken to be a fair sample
-    of the corpus. Without positives or documents the model gives the prior (0.5 if no labels).
+    """Fits on bounded samples of trusted positives and of the unlabelled corpus, neither from the held-out fold; the prior is estimated from both.
+
+    Labels of bad quality are not read. Without positives or documents the
+    model gives 0.5.
     """
     known = allowed_labels(docs, labels, "quality", folds, held_out)
-    n, good = known.agg(F.count("*"), F.sum("y")).first()
-    prior = ((good or 0) + 1) / (n + 2)
-    stack = lambda rows: np.array([measures(r[0]) for r in rows]).reshape(-1, N_MEASURES)
-    p = stack(texts_of(docs, sampled(known.filter("y = 1").select("doc_id"), positives)))
-    u = stack(texts_of(docs, sampled(project(docs, doc_id="long").filter("doc_id IS NOT NULL").distinct(), unlabelled)))
-    return fit(p, u, prior)
+    p = measured(docs, sampled(known.filter("y = 1").select("doc_id"), positives))
+    u = measured(docs, sampled(project(docs, doc_id="long").filter("doc_id IS NOT NULL").filter(~is_held_out(folds, held_out)).distinct(), unlabelled))
+    return fit(p, u, estimated_prior(p, u))
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
@@ -121,6 +161,6 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, threshold: float = 0.7) -> DataFrame:
-    """Rows (doc_id, held_out, score, predicted) for every document."""
+    """Rows (doc_id, held_out, score, predicted) for every document; without a doc_id it is not held out."""
     found = score_documents(docs, train(docs, labels, folds, held_out))
-    return found.select("doc_id", (bucket(folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return found.select("doc_id", is_held_out(folds, held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

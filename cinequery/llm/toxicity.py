@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import filtered, project
-from .labels import allowed_labels, bucket, sampled, texts_of
+from .labels import allowed_labels, is_held_out, sampled, texts_of
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -27,7 +27,7 @@ WORD = re.compile(r"\w+")
 SAMPLE_PER_CLASS = 1500
 #: Beginnings of words, in characters: stems that take many endings.
 STEMS = range(4, 9)
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: A word or beginning counts as a feature if this many sampled documents have it.
 MIN_DOCUMENTS = 4
 
@@ -173,6 +173,6 @@ def clean_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0) -> DataFrame:
-    """Rows (doc_id, held_out, score, predicted, offending) for every document."""
+    """Rows (doc_id, held_out, score, predicted, offending) for every document; without a doc_id it is not held out."""
     found = score_documents(docs, train(docs, labels, folds, held_out))
-    return found.select("doc_id", (bucket(folds) == held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
+    return found.select("doc_id", is_held_out(folds, held_out).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
