@@ -11,6 +11,7 @@ are. Items are taken in blocks of bounded size, one broadcast a block.
 from __future__ import annotations
 
 import math
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,9 +28,16 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 _PUNCTUATION = bytes(32 if chr(c) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else c for c in range(256))
 
 
+#: Scripts written without spaces (Thai to Khmer, kana, ideographs): each character is a word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
 def words(text: str | None) -> list[bytes]:
-    """Lower-cased words without ASCII punctuation, as UTF-8."""
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_PUNCTUATION).split()
+    """Lower-cased words without ASCII punctuation, as UTF-8; in scripts without spaces each character is one."""
+    text = text or ""
+    if not text.isascii():
+        text = _UNSPACED.sub(r" \g<0> ", text)
+    return text.lower().encode("utf-8", "surrogatepass").translate(_PUNCTUATION).split()
 
 
 class Items:
