@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cinequery.llm import decontam, near_copies, secrets, sentencepiece, toxicity
-from cinequery.llm.common import materialize, table
+from cinequery.llm.common import Scratch, table
 from cinequery.llm.queries import MODEL_PATH
 
 
@@ -54,7 +54,9 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents. Rows with null or empty texts are clean documents like any other; a null doc_id is carried along; an empty table gives no rows."""
-    docs = table(spark, sf_dir, "documents")
+    docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.drop(*before)
+        before = [name]
     return STAGES[-1][1](spark, docs, sf_dir)
