@@ -7,6 +7,7 @@ import functools
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import Scratch
 from . import alignment
 
 
@@ -38,8 +39,11 @@ def refine_sequences(scored: DataFrame, events: int, steps: list[int], top_video
     The best alignment of frames that the first step divides picks
     max(top_videos, pool) videos; then each event looks around its own frame at
     each finer step and the videos are aligned again. A video without a new
-    alignment keeps what it had. Scores are 0.72 mean + 0.28 least.
+    alignment keeps what it had. Scores are 0.72 mean + 0.28 least. The scores
+    and each step's choice are written to the shared folder.
     """
+    scratch = Scratch(scored.sparkSession, "refine")
+    scored = scratch.write(scored, "scored")
     names = [f"s{e}" for e in range(events)]
     coarse = alignment.ordered_alignment(scored.filter(F.col("frame_id") % steps[0] == 0), ["video_id"], "frame_id", names)
 
@@ -50,6 +54,7 @@ def refine_sequences(scored: DataFrame, events: int, steps: list[int], top_video
         return found.select("video_id", "path", (0.72 * F.col("m") + 0.28 * F.col("l")).alias("score"))
 
     best = judged(coarse).orderBy(F.desc(F.round("score", 9)), "video_id").limit(max(top_videos, pool)).select("video_id", "path")
+    best = scratch.write(best, "best")
     for previous, step in zip(steps, steps[1:], strict=False):
         around = []
         for e in range(events):
@@ -57,7 +62,7 @@ def refine_sequences(scored: DataFrame, events: int, steps: list[int], top_video
             near = refine(scored, centre, previous, step)
             around.append(near.select("video_id", F.lit(e).alias("event"), "frame_id", F.col(names[e]).alias("score")))
         finer = alignment.candidate_alignment(functools.reduce(DataFrame.unionByName, around), ["video_id"], events)
-        best = best.join(finer.select("video_id", F.col("path").alias("_p")), "video_id", "left").select("video_id", F.coalesce("_p", "path").alias("path"))
+        best = scratch.write(best.join(finer.select("video_id", F.col("path").alias("_p")), "video_id", "left").select("video_id", F.coalesce("_p", "path").alias("path")), "best")
     order = (F.desc(F.round("score", 9)), F.col("video_id"))
     top = judged(best).orderBy(*order).limit(top_videos)
     return top.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), "video_id", "path", "score")

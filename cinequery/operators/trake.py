@@ -63,7 +63,7 @@ def rerank(sequences: DataFrame, events: DataFrame, mapping: DataFrame, score: C
     n = events.count()
     total = sequences.count()
     limit = budgeted(pairs, n, total)
-    base = sequences.withColumn("one", F.lit(1)).withColumn("clip", vector.min_max("score", ["one"])).drop("one")
+    base = vector.min_max_of_all(sequences, "score", "clip")
     base = base.withColumn("_place", F.row_number().over(Window.orderBy("rank")))  # the videos that search returned, 100 at most
     frames = base.filter(F.col("_place") <= limit).select("video_id", F.posexplode("keyframes").alias("event", "keyframe_number")).join(events, "event")
     judged = score(frames).groupBy("video_id").agg(F.avg("value").alias("mean"), F.min("value").alias("least"))

@@ -28,8 +28,14 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     return dot(a, b) / (F.greatest(norm(a), F.lit(1e-12)) * F.greatest(norm(b), F.lit(1e-12)))
 
 
+#: Queries that are met in one block, at most.
+FEW_QUERIES = 1000
+
+
 def scored(frames: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every frame against every query (query_id, qvec); queries are a stated set of a few rows, read in one block."""
+    """Every frame against every query (query_id, qvec); queries are a stated set of a few rows, read in one block. For more, see `recall`."""
+    if queries.limit(FEW_QUERIES + 1).count() > FEW_QUERIES:
+        raise ValueError(f"more than {FEW_QUERIES} queries")
     return frames.join(F.broadcast(queries)).withColumn("score", cosine("embedding", "qvec"))
 
 
@@ -114,3 +120,10 @@ def min_max(x: str, keys: list[str]) -> Column:
     w = Window.partitionBy(*keys)
     low, high = F.min(x).over(w), F.max(x).over(w)
     return F.when(high - low < 1e-9, F.lit(0.5)).otherwise((F.col(x) - low) / (high - low))
+
+
+def min_max_of_all(df: DataFrame, column: str, name: str) -> DataFrame:
+    """`df` with the column min-max normalised over all rows, as `name`: its two bounds come as one broadcast row."""
+    bounds = df.agg(F.min(column).alias("_low"), F.max(column).alias("_high"))
+    flat = F.col("_high") - F.col("_low") < 1e-9
+    return df.join(F.broadcast(bounds)).withColumn(name, F.when(flat, 0.5).otherwise((F.col(column) - F.col("_low")) / (F.col("_high") - F.col("_low")))).drop("_low", "_high")

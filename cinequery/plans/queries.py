@@ -152,9 +152,9 @@ def w4_ordered_alignment(spark: SparkSession, d: str) -> DataFrame:
     return aligned(spark, d).select("video_id", r6("total"), F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
 
 
-@query(f"WITH {ALIGNED} SELECT row_number() OVER (ORDER BY b.v DESC, video_id)::INTEGER AS rank, video_id, b.path[1] AS frame_id_1, b.path[2] AS frame_id_2, b.path[3] AS frame_id_3 FROM best")
+@query(f"WITH {ALIGNED} SELECT row_number() OVER (ORDER BY b.v DESC, video_id)::INTEGER AS rank, video_id, b.path[1] AS frame_id_1, b.path[2] AS frame_id_2, b.path[3] AS frame_id_3 FROM best QUALIFY rank <= 100")
 def o2_trake_wide(spark: SparkSession, d: str) -> DataFrame:
-    ranked = aligned(spark, d).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), "video_id")))
+    ranked = vector.top_k(aligned(spark, d), 100, F.desc("total"), F.col("video_id"))
     return files.wide_sequences(ranked, 3)
 
 
@@ -356,9 +356,9 @@ def r6_rerank_fusion(spark: SparkSession, d: str) -> DataFrame:
   n AS (SELECT query_id, mean, least, CASE WHEN max(clip) OVER () - min(clip) OVER () < 1e-9 THEN 0.5 ELSE (clip - min(clip) OVER ()) / (max(clip) OVER () - min(clip) OVER ()) END AS c FROM s)
   SELECT query_id, round(CASE query_id % 3 WHEN 0 THEN 0.35 * c WHEN 1 THEN 0.85 * (0.72 * mean + 0.28 * least) + 0.15 * c ELSE 0.88 * (0.72 * mean + 0.28 * least) + 0.12 * c END, 6) AS score FROM n""")
 def r7_sequence_rerank(spark: SparkSession, d: str) -> DataFrame:
-    s = tables.load(spark, d, "events").groupBy(F.col("user_id").alias("query_id")).agg(F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("clip"), F.lit(1).alias("one"))
+    s = tables.load(spark, d, "events").groupBy(F.col("user_id").alias("query_id")).agg(F.avg("value").alias("mean"), F.min("value").alias("least"), F.max("value").alias("clip"))
     kind = F.col("query_id") % 3
-    s = s.withColumn("c", vector.min_max("clip", ["one"])).withColumn("mean", F.when(kind != 0, F.col("mean")))
+    s = vector.min_max_of_all(s, "clip", "c").withColumn("mean", F.when(kind != 0, F.col("mean")))
     return s.select("query_id", F.round(fusion.sequence_rerank(F.col("mean"), F.col("least"), F.col("c"), kind == 2), 6).alias("score"))
 
 
