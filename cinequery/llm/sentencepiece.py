@@ -24,7 +24,7 @@ _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Fixed numbers of the model format's piece types.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0  # fixed: an unknown character scores this much below the worst piece
-CACHE = 600_000  # chunks remembered by a worker, at most
+CACHE = 300_000  # chunks remembered by a worker, at most
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
