@@ -36,7 +36,7 @@ from .simhash import _signed, bit_counts, fingerprint, plan
 PROPOSING = 2
 #: Orders of texts, each of which gives every value of a partition one leader; leaders a text is compared with.
 ORDERS, CLOSEST = 3, 2
-#: Texts meet leaders of their shingles as long as comparing all would take CROWDED times the shingles' entries, and the last turn left LINKING of them at most.
+#: Texts meet leaders of their shingles once, and again as long as comparing all would take CROWDED times the shingles' entries and the last turn left LINKING of them at most.
 CROWDED, LINKING = 4, 0.8
 #: Shingles that stand in OFTEN of SAMPLE texts, the MOST commonest at most, come last in the prefixes; this bears on time only.
 SAMPLE, OFTEN, MOST = 10_000, 3, 200_000
@@ -178,6 +178,12 @@ def _shared(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     return _divided(nodes.join(labels, "id").select("id", "label", "size", F.posexplode("prefix").alias("at", "s")))
 
 
+def _crowd(shared: DataFrame) -> tuple[int, int]:
+    """How many entries there are, and pairs of them that share a shingle."""
+    entries, pairs = shared.groupBy("s").count().agg(F.sum("count"), F.sum(F.expr("count * (count - 1) / 2"))).first()
+    return entries or 0, pairs or 0
+
+
 def _carrying(entries: DataFrame, nodes: DataFrame) -> DataFrame:
     """Entries with their text's folded sketch and its first shared shingles."""
     first = entries.groupBy("id").agg(F.slice(F.sort_array(F.collect_list("s")), 1, FIRST).alias("first"))  # a text's own prefix
@@ -190,38 +196,44 @@ def _divided(entries: DataFrame) -> DataFrame:
     return found.filter("_a < _b").drop("_a", "_b")
 
 
-def _can_be_similar(similarity: float, anywhere: bool = False) -> Column:
-    """For entries u and v of one shingle: different labels, sizes that fit, room for enough shingles up to this one and after it, and sketches that agree enough.
-
-    Of several shingles that two texts share, the least that both carry proposes
-    them; if they carry none in common, or `anywhere`, each does.
-    """
+def _can_be_similar(similarity: float) -> Column:
+    """For entries u and v of one shingle: different labels, sizes that fit, and room for enough shingles up to this one and after it."""
     total = F.col("size_u") + F.col("size_v")
     most = F.least("at_u", "at_v") + F.least(F.col("size_u") - F.col("at_u"), F.col("size_v") - F.col("at_v"))
     enough = most >= similarity / (1 + similarity) * total - 1e-6
+    return (F.col("label_u") != F.col("label_v")) & _sizes("size_u", "size_v", similarity) & enough
+
+
+def _proposed_here(similarity: float) -> Column:
+    """For carrying entries: sketches that agree enough, and no other shingle to propose the pair.
+
+    Of several shingles that two texts share, the least that both carry proposes
+    them; if they carry none in common, each does.
+    """
     apart = sum((_bits(f"{w}_u", f"{w}_v") for w in WORDS), F.lit(0))
-    here = F.coalesce(F.array_min(F.array_intersect("first_u", "first_v")) == F.col("s"), F.lit(True)) | F.lit(anywhere)
-    return (F.col("label_u") != F.col("label_v")) & _sizes("size_u", "size_v", similarity) & enough & (apart <= (1 - similarity) / (1 + similarity) * total + 1e-6) & here
+    close = apart <= (1 - similarity) / (1 + similarity) * (F.col("size_u") + F.col("size_v")) + 1e-6
+    return close & F.coalesce(F.array_min(F.array_intersect("first_u", "first_v")) == F.col("s"), F.lit(True))
 
 
-_ENTRY = ("id", "label", "size", "at", "first", *WORDS)
+_ENTRY = ("id", "label", "size", "at")
 
 
-def _side(entries: DataFrame, side: str) -> DataFrame:
-    return entries.select("s", *[F.col(c).alias(f"{c}_{side}") for c in _ENTRY])
+def _side(entries: DataFrame, side: str, *more: str) -> DataFrame:
+    return entries.select("s", *[F.col(c).alias(f"{c}_{side}") for c in (*_ENTRY, *more)])
 
 
 def _with_leaders(shared: DataFrame, turn: int, similarity: float) -> DataFrame:
     """Rows (u, v): every entry's text with its shingle's leader, another one each turn."""
     one = F.struct(*[F.col(c).alias(f"{c}_v") for c in _ENTRY])
     leaders = shared.groupBy("s").agg(F.min_by(one, F.xxhash64("id", F.lit(turn))).alias("l")).select("s", "l.*")
-    pairs = _side(shared, "u").join(leaders, "s").filter(_can_be_similar(similarity, anywhere=True))
+    pairs = _side(shared, "u").join(leaders, "s").filter(_can_be_similar(similarity))
     return pairs.select(F.greatest("id_u", "id_v").alias("u"), F.least("id_u", "id_v").alias("v")).distinct()
 
 
-def _all_pairs(shared: DataFrame, similarity: float) -> DataFrame:
+def _all_pairs(carrying: DataFrame, similarity: float) -> DataFrame:
     """Rows (u, v): all pairs of a shingle's entries that can be similar."""
-    pairs = _side(shared, "u").join(_side(shared, "v"), "s").filter((F.col("id_u") > F.col("id_v")) & _can_be_similar(similarity))
+    u, v = (_side(carrying, side, "first", *WORDS) for side in "uv")
+    pairs = u.join(v, "s").filter((F.col("id_u") > F.col("id_v")) & _can_be_similar(similarity) & _proposed_here(similarity))
     return pairs.select(F.col("id_u").alias("u"), F.col("id_v").alias("v")).distinct()
 
 
@@ -284,19 +296,19 @@ def _grouped(docs: DataFrame, shingle: int, similarity: float, max_distance: int
     links = scratch.write(links, "all-links")
     labels = _labels(nodes, links, scratch)
     shared = scratch.write(_shared(nodes, labels), "shared")
-    turn, before, crowded = 0, math.inf, True
-    while crowded:
-        entries, pairs = shared.groupBy("s").count().agg(F.sum("count"), F.sum(F.expr("count * (count - 1) / 2"))).first()
-        crowded = bool(entries) and pairs > CROWDED * entries and entries <= LINKING * before
-        carrying = _carrying(shared, nodes)
-        proposed = _with_leaders(carrying, turn, similarity) if crowded else _all_pairs(carrying, similarity)
-        similar, n = _similar(proposed, nodes, texts, shingle, similarity, scratch)
+    turn, (entries, pairs) = 0, _crowd(shared)
+    while entries:
+        similar, n = _similar(_with_leaders(shared, turn, similarity), nodes, texts, shingle, similarity, scratch)
         if n:
             links = scratch.write(links.select("u", "v").union(similar), "all-links")
             labels = _labels(nodes, links, scratch)
-        if crowded:
             shared = scratch.write(_divided(shared.drop("label").join(labels, "id")), "shared")
-        turn, before = turn + 1, entries
+        turn, before, (entries, pairs) = turn + 1, entries, _crowd(shared)
+        if pairs <= CROWDED * entries or entries > LINKING * before:
+            break
+    similar, n = _similar(_all_pairs(_carrying(shared, nodes), similarity), nodes, texts, shingle, similarity, scratch)
+    if n:
+        labels = _labels(nodes, links.select("u", "v").union(similar), scratch)
     scratch.drop("shared", "similar")
     grouped = scratch.write(nodes.select("id", "hash", "none", "doc").join(labels, "id").select("hash", "none", "doc", "label"), "grouped")
     scratch.drop("nodes", "labels", "all-links")
