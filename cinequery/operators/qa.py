@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.scratch import Scratch
 from .evaluation import NUMBERS
 
 # Fixed patterns of questions and answers.
@@ -120,10 +121,12 @@ def answered(queries: DataFrame, search: Callable[[DataFrame], DataFrame], answe
 
     `search` takes (query_id, query) and returns ranked results; `answer` takes
     results with question and kind and adds (answer, confidence). Queries that
-    cannot be split take no part.
+    cannot be split take no part. Results and predictions are written to the
+    shared folder, as each is read more than once.
     """
+    scratch = Scratch(queries.sparkSession, "answers")
     parts = queries.select("query_id", split("query").alias("p")).filter("p.problem = ''").select("query_id", "p.event", "p.question").withColumn("kind", question_kind("question"))
-    results = search(parts.select("query_id", retrieval_query(F.col("event"), F.col("question")).alias("query")))
+    results = scratch.write(search(parts.select("query_id", retrieval_query(F.col("event"), F.col("question")).alias("query"))), "results")
     asked = results.filter(F.col("rank") <= min(max(most, 1), 12)).join(parts.select("query_id", "question", "kind"), "query_id")
     predictions = answer(asked).select("query_id", "rank", "kind", normal_answer("answer", "kind").alias("answer"), "confidence")
-    return filled(results, predictions)
+    return filled(results, scratch.write(predictions, "predictions"))

@@ -648,7 +648,7 @@ QA_WORK = f"""base AS ({WORK.removeprefix("work AS (")}, work AS (SELECT query_i
 
 
 @query(f"""WITH RECURSIVE {KIS_SQL.replace(WORK, QA_WORK)}, {diverse_sql("fused", "query_id", "answers", 50)},
-  said AS (SELECT query_id, rank, CASE query_id % 4 WHEN 0 THEN (frame_id % 5)::VARCHAR WHEN 1 THEN CASE WHEN title = '' THEN 'unknown' ELSE title END ELSE CASE WHEN title = '' THEN 'unknown' ELSE title END END AS answer, (frame_id % 10 + 1) / 10.0::DOUBLE AS confidence FROM answers WHERE rank <= 8),
+  said AS (SELECT query_id, rank, CASE query_id % 4 WHEN 0 THEN (frame_id % 5)::VARCHAR WHEN 1 THEN CASE WHEN title = '' THEN 'a' ELSE title END ELSE CASE WHEN title = '' THEN 'unknown' ELSE title END END AS answer, (frame_id % 10 + 1) / 10.0::DOUBLE AS confidence FROM answers WHERE rank <= 8),
   support AS (SELECT query_id, lower(answer) AS key, sum(confidence / (1 + 0.10 * greatest(rank - 1, 0))) AS support, min(rank) AS first, arg_min(answer, rank) AS answer, max(confidence) AS confidence FROM said GROUP BY ALL),
   agreed AS (SELECT * FROM support QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(support, 9) DESC, first) = 1)
   SELECT a.query_id, a.rank, a.video_id, a.frame_id, coalesce(s.answer, g.answer) AS answer, round(CASE WHEN s.answer IS NULL THEN g.confidence ELSE s.confidence END, 6) AS qa_confidence FROM answers a LEFT JOIN said s USING (query_id, rank) LEFT JOIN agreed g USING (query_id)""")
