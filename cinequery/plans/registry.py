@@ -2,6 +2,6 @@
 
 from .queries import ORACLES, QUERIES
 
-FLAGSHIP = "m7_kis_pipeline"
+FLAGSHIP = "m1_feature_search"
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
