@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,16 +38,15 @@ def one_text_each(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.select("doc_id", F.col("t.text").alias("text")).join(ids, "doc_id")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame, most_bytes: int = SAMPLE_BYTES) -> list[tuple]:
-    """(text, *other columns of ids) for the documents in `ids`, whose row count the caller has bounded, in an order by hash, up to `most_bytes` of text."""
+def texts_of(docs: DataFrame, ids: DataFrame, most_bytes: int = SAMPLE_BYTES) -> Iterator[tuple]:
+    """(text, *other columns of ids) for the documents in `ids`, whose row count the caller has bounded, in an order by hash, up to `most_bytes` of text; one at a time."""
     rows = one_text_each(docs, ids).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", *[c for c in ids.columns if c != "doc_id"])
-    out, size = [], 0
-    for r in rows.toLocalIterator():
+    size = 0
+    for k, r in enumerate(rows.toLocalIterator()):
         size += len((r.text or "").encode("utf-8", "surrogatepass"))
-        if out and size > most_bytes:
-            break
-        out.append(tuple(r))
-    return out
+        if k and size > most_bytes:
+            return
+        yield tuple(r)
 
 
 def sampled(ids: DataFrame, most: int) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +30,8 @@ STEMS = range(4, 9)
 REMEMBERED = 150_000
 #: A word or beginning counts as a feature if this many sampled documents have it.
 MIN_DOCUMENTS = 4
+#: Entries of the sample that are summed at a time.
+BLOCK = 1 << 18
 
 
 def features(word: str) -> list[str]:
@@ -64,35 +66,54 @@ class _Bags:
     """Sampled documents as numbers: words by sentence, sentences by document, and each word's features.
 
     Texts and feature names are read one at a time and let go; only features
-    with enough documents keep their names.
+    with enough documents keep their names. Sums run over blocks of entries,
+    so that no array of floats is as long as the sample.
     """
 
-    def __init__(self, rows: list[tuple[str | None, int]]):
+    def __init__(self, rows: Iterable[tuple[str | None, int]]):
         ids: dict[str, int] = {}
-        word, length, doc_of = array("i"), array("i"), array("i")
-        for k, (text, _) in enumerate(rows):
-            for s in SENTENCE.findall(text or ""):
-                words = set(WORD.findall(s.lower()))
+        word, length, doc_of, in_doc, n_in_doc, y = array("i"), array("i"), array("i"), array("i"), array("i"), array("b")
+        for k, (text, label) in enumerate(rows):
+            y.append(label)
+            seen: set[int] = set()
+            for m in SENTENCE.finditer(text or ""):
+                words = {ids.setdefault(w, len(ids)) for w in set(WORD.findall(m[0].lower()))}
                 if words:
-                    word.extend(ids.setdefault(w, len(ids)) for w in words)
+                    word.extend(words)
                     length.append(len(words))
                     doc_of.append(k)
-        self.word = np.frombuffer(word, np.int32) if word else np.zeros(0, np.int32)
-        self.doc_of = np.frombuffer(doc_of, np.int32) if doc_of else np.zeros(0, np.int32)
-        self.of = np.repeat(np.arange(len(length), dtype=np.int32), np.frombuffer(length, np.int32) if length else 0)
-        in_doc = np.unique(self.doc_of[self.of].astype(np.int64) * max(len(ids), 1) + self.word)
-        doc, word_in_doc = np.divmod(in_doc, max(len(ids), 1))
+                    seen |= words
+            in_doc.extend(seen)
+            n_in_doc.append(len(seen))
+        whole = lambda a: np.frombuffer(a, np.int32) if a else np.zeros(0, np.int32)
+        self.y, self.word, self.length, self.doc_of = np.array(y, float), whole(word), whole(length), whole(doc_of)
+        self.parts = _blocks(self.length)
         self.n_words, self.names, self.kinds = len(ids), [], []
+        in_doc, n_in_doc = whole(in_doc), whole(n_in_doc)
         for k in (0, *STEMS):
             kind: dict[str, int] = {}
-            of_word = np.fromiter((-1 if 0 < len(w) < k else kind.setdefault(w[:k] + "*" if k else w, len(kind)) for w in ids), np.int64, len(ids))
-            seen = of_word[word_in_doc]
-            pairs = np.unique(doc[seen >= 0] * max(len(kind), 1) + seen[seen >= 0])
-            df = np.bincount(pairs % max(len(kind), 1), minlength=len(kind))
+            of_word = np.fromiter((-1 if 0 < len(w) < k else kind.setdefault(w[:k] + "*" if k else w, len(kind)) for w in ids), np.int32, len(ids))
+            df = np.zeros(len(kind), np.int64)
+            for d, e, lo, hi in _blocks(n_in_doc):
+                doc, seen = np.repeat(np.arange(e - d), n_in_doc[d:e]), of_word[in_doc[lo:hi]]
+                pairs = np.unique(doc[seen >= 0] * max(len(kind), 1) + seen[seen >= 0])
+                df += np.bincount(pairs % max(len(kind), 1), minlength=len(kind))[: len(kind)]
             new = np.where(df >= MIN_DOCUMENTS, np.cumsum(df >= MIN_DOCUMENTS) - 1 + len(self.names), -1)
-            self.kinds.append(np.where(of_word >= 0, new[of_word] if len(new) else -1, -1))
+            self.kinds.append(np.where(of_word >= 0, new[of_word] if len(new) else -1, -1).astype(np.int32))
             self.names += [name for name, i in kind.items() if df[i] >= MIN_DOCUMENTS]
 
+    def sentence_sums(self, by_word: np.ndarray) -> np.ndarray:
+        """For each sentence, the sum over its words."""
+        parts = [np.bincount(np.repeat(np.arange(e - s), self.length[s:e]), by_word[self.word[lo:hi]], minlength=e - s) for s, e, lo, hi in self.parts]
+        return np.concatenate([*parts, np.zeros(0)])
+
+    def word_sums(self, by_sentence: np.ndarray) -> np.ndarray:
+        """For each word, the sum over the sentences that have it."""
+        out = np.zeros(self.n_words)
+        for s, e, lo, hi in self.parts:
+            out += np.bincount(self.word[lo:hi], np.repeat(by_sentence[s:e], self.length[s:e]), minlength=self.n_words)
+        return out
+
     def word_scores(self, weights: np.ndarray) -> np.ndarray:
         """Each word's sum of its features' weights; feature -1 weighs 0."""
         padded = np.append(weights, 0.0)
@@ -105,21 +126,32 @@ class _Bags:
         return out[:-1]
 
 
-def fit(rows: list[tuple[str | None, int]], steps: int = 200, rate: float = 0.15, decay: float = 2e-4) -> Model:
+def _blocks(sizes: np.ndarray, most: int = BLOCK) -> list[tuple[int, int, int, int]]:
+    """Runs of lists (from, to) and of their entries (from, to): about `most` entries each, whole lists."""
+    ends = np.cumsum(sizes, dtype=np.int64)
+    out, at, lo = [], 0, 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, lo + most, side="right")))
+        out.append((at, to, lo, int(ends[to - 1])))
+        at, lo = to, int(ends[to - 1])
+    return out
+
+
+def fit(rows: Iterable[tuple[str | None, int]], steps: int = 200, rate: float = 0.15, decay: float = 2e-4) -> Model:
     """Maximises the likelihood of document labels under the noisy-or, by Adam over all rows."""
-    y = np.array([t for _, t in rows], float)
     bags = _Bags(rows)
+    y = bags.y
     share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y) if len(y) else y
     theta = np.zeros(len(bags.names) + 1)
     theta[-1] = -4.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1 if len(y) else 1):
-        z = np.bincount(bags.of, bags.word_scores(theta[:-1])[bags.word], minlength=len(bags.doc_of)) + theta[-1]
+        z = bags.sentence_sums(bags.word_scores(theta[:-1])) + theta[-1]
         total = np.bincount(bags.doc_of, np.logaddexp(0, z), minlength=len(y))  # -log of no toxic sentence
         none = np.exp(-total)
         by_doc = share * np.where(y > 0, -none / np.maximum(1 - none, 1e-9), 1.0) / len(y)
         by_sentence = by_doc[bags.doc_of] / (1 + np.exp(-z))
-        grad = np.append(bags.feature_sums(np.bincount(bags.word, by_sentence[bags.of], minlength=bags.n_words)), by_sentence.sum())
+        grad = np.append(bags.feature_sums(bags.word_sums(by_sentence)), by_sentence.sum())
         grad[:-1] += decay * theta[:-1]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
