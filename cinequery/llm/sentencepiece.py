@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import re
 import struct
-from array import array
 from collections.abc import Iterator
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,11 @@ _CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0  # fixed: an unknown character scores this much below the worst piece
 CACHE = 300_000  # chunks remembered by a worker, at most
+SHORT = 64  # characters; longer chunks are cut or segmented alone, and not remembered
+BLOCK = 1 << 15  # chunks looked up at once
+TOGETHER = 400_000  # characters of texts that are split into chunks before these are looked up
+LATTICE = 100_000  # characters of the lattices that grow together, which bounds their arrays
+_STOP = b"\xff"  # in no UTF-8 text, so in no piece
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -65,6 +70,19 @@ def read_model(raw: bytes) -> list[tuple[str, float, int]]:
     return pieces
 
 
+def _groups(texts: list[str | None], size: int) -> Iterator[list[str | None]]:
+    """The texts in order, in groups that end once they hold more than `size` characters."""
+    group, held = [], 0
+    for text in texts:
+        group.append(text)
+        held += len(text or "")
+        if held > size:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
 class DoubleArray:
     """A trie over bytes in two arrays: the child of s by byte c is base[s] + c if check there is s. Byte 0 ends a key and holds its value."""
 
@@ -153,8 +171,16 @@ class Tokenizer:
         # a text may be cut where no piece reaches across
         self.cuttable = all(MARK not in p.lstrip(MARK) for p, _, kind in self.pieces if kind in (NORMAL, USER_DEFINED, UNUSED))
         self.together = {p[i : i + 2] for p, _, kind in self.pieces if kind in (NORMAL, USER_DEFINED, UNUSED) for i in range(len(p) - 1)}
-        self.mark_bytes = np.array([self.byte_ids[b] for b in MARK.encode()], "<i4").tobytes()
-        self.cache: dict[str, bytes] = {}
+        # for many parts at once: the trie as arrays, with room to step past its end, and the piece that ends at a state
+        base, check = np.array(self.trie.base), np.array(self.trie.check)
+        leaf = np.clip(base, 0, len(base) - 1)
+        self.leaf = np.where((base > 0) & (check[leaf] == np.arange(len(base))) & (base[leaf] < 0), -base[leaf] - 1, -1)
+        self.step, self.owner = base, np.concatenate([check, np.full(max(0, int(base.max())) + 258, -1)])
+        self.gains = np.array([*self.scores, self.unknown_score])  # piece -1 is an unknown character
+        self.bytes = np.array(self.byte_ids)
+        # the empty chunk stands for a literal mark
+        self.mark = {"": np.array([self.byte_ids[b] for b in MARK.encode()], "<i4").tobytes()}
+        self.cache: dict[str, bytes] = dict(self.mark)
 
     def viterbi(self, text: str) -> list[int]:
         """Ids of the segmentation with the highest sum of scores; of equal ones, that with the longest last piece."""
@@ -197,37 +223,109 @@ class Tokenizer:
             at = start
         return out[::-1]
 
-    def _chunk(self, chunk: str) -> bytes:
-        """A chunk's ids as bytes; cut further where no piece reaches across, each part remembered."""
+    def lattices(self, parts: list[str]) -> list[bytes]:
+        """Ids as bytes of short parts, the same as `viterbi` gives: every part's lattice grows by one position in a step."""
+        raw = np.frombuffer(b"".join(p.encode("utf-8", "surrogatepass") + _STOP for p in parts), np.uint8)
+        stops = np.flatnonzero(raw == _STOP[0])
+        firsts = np.concatenate([[0], stops[:-1] + 1])
+        within = (np.arange(len(raw)) - np.repeat(firsts, stops - firsts + 1)).astype(np.uint16)
+        heads = np.flatnonzero((raw & 0xC0 != 0x80) & (raw != _STOP[0]))
+        lead = raw[heads]
+        one = np.zeros(len(raw), np.int64)
+        one[heads] = heads + 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
+        # edges of the lattices: the trie is walked from all characters at once, a byte in a step
+        codes = raw + np.int64(1)
+        lone = np.zeros(len(raw), bool)
+        lone[heads] = True
+        starts, ends, pieces = [], [], []
+        at, state, far = heads, np.zeros(len(heads), np.int64), 0
+        while len(at):
+            to = self.step[state] + codes[at + far]
+            ok = self.owner[to] == state
+            at, state, far = at[ok], to[ok], far + 1
+            piece = self.leaf[state]
+            hit = np.flatnonzero(piece >= 0)
+            start = at[hit]
+            end = start + far
+            lone[start[one[start] == end]] = False
+            starts.append(start), ends.append(end), pieces.append(piece[hit])
+        alone = np.flatnonzero(lone)
+        start, end, piece = (np.concatenate(x) for x in ([*starts, alone], [*ends, one[alone]], [*pieces, np.full(len(alone), -1)]))
+        order = np.argsort(within[start], kind="stable")
+        start, end, piece = start[order], end[order], piece[order]
+        gain = self.gains[piece]
+        # edges that start at the same distance end in different places; of equal sums the earlier start stays
+        best, edge = np.full(len(raw), -np.inf), np.zeros(len(raw), np.int64)
+        best[firsts] = 0.0
+        for a, b in pairwise([0, *np.cumsum(np.bincount(within[start])).tolist()]):
+            to, score = end[a:b], best[start[a:b]] + gain[a:b]
+            up = np.flatnonzero(score > best[to])
+            to = to[up]
+            best[to], edge[to] = score[up], up + a
+        chosen, at = np.zeros(len(raw), bool), stops
+        while len(at):
+            chosen[at] = True
+            at = start[edge[at]]
+            at = at[within[at] > 0]
+        path = np.flatnonzero(chosen)
+        taken = edge[path]
+        piece, start = piece[taken], start[taken]
+        width = np.where(piece < 0, path - start, 1)
+        total = np.concatenate([[0], np.cumsum(width)])
+        ids = np.repeat(piece, width)
+        unknown = ids < 0
+        if unknown.any():
+            ids[unknown] = self.bytes[raw[(np.arange(len(ids)) + np.repeat(start - total[:-1], width))[unknown]]]
+        blob = ids.astype("<i4").tobytes()
+        return [blob[a:b] for a, b in pairwise([0, *(total[np.searchsorted(path, stops) + 1] * 4).tolist()])]
+
+    def _long(self, chunk: str) -> bytes:
+        """A long chunk's ids, cut where no piece reaches across."""
         cuts = [0, *(i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in self.together), len(chunk)]
+        if len(cuts) == 2:
+            return np.array(self.viterbi(chunk), "<i4").tobytes()
+        return b"".join(self._ids([chunk[a:b] for a, b in pairwise(cuts)]))
+
+    def _ids(self, chunks: list[str]) -> Iterator[bytes]:
+        """Each chunk's ids as bytes. Those not remembered are segmented together."""
+        for at in range(0, len(chunks), BLOCK):
+            block = chunks[at : at + BLOCK]
+            found = list(map(self.cache.get, block))
+            missing = [k for k, ids in enumerate(found) if ids is None]
+            new = {block[k] for k in missing}
+            known = {c: self._long(c) for c in new if len(c) >= SHORT}
+            short = [c for c in new if len(c) < SHORT]
+            for parts in _groups(short, LATTICE):
+                known.update(zip(parts, self.lattices(parts), strict=True))
+            for k in missing:
+                found[k] = known[block[k]]
+            if len(self.cache) + len(short) > CACHE:
+                self.cache = dict(self.mark)
+            self.cache.update((c, known[c]) for c in short)
+            yield from found
+
+    def _chunks(self, text: str | None) -> list[str]:
+        """The chunks of a text, in order, with an empty one for each literal mark; null and empty texts have none."""
+        out: list[str] = []
+        for k, part in enumerate(text.split(MARK) if text else ()):
+            if k:
+                out.append("")
+            marked = (MARK if k == 0 else "") + part.replace(" ", MARK)
+            out += _CHUNK.findall(marked) if self.cuttable else [marked] if marked else []
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text."""
         out = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            part = chunk[a:b]
-            ids = self.cache.get(part)
-            if ids is None:
-                ids = array("i", self.viterbi(part)).tobytes()
-                if len(part) < 64:
-                    self.cache[part] = ids
-            out.append(ids)
-        ids = b"".join(out)
-        if len(chunk) < 64:
-            self.cache[chunk] = ids
-        return ids
+        for group in _groups(texts, TOGETHER):
+            split = [self._chunks(text) for text in group]
+            found = self._ids([chunk for some in split for chunk in some])
+            out += [np.frombuffer(b"".join(islice(found, len(some))), "<i4") for some in split]
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
         """Ids of a text; null and empty texts have none."""
-        if not text:
-            return np.zeros(0, np.int32)
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        get, out = self.cache.get, []
-        for k, part in enumerate(text.split(MARK)):
-            if k:
-                out.append(self.mark_bytes)
-            marked = (MARK if k == 0 else "") + part.replace(" ", MARK)
-            for chunk in _CHUNK.findall(marked) if self.cuttable else [marked] if marked else []:
-                out.append(get(chunk) or self._chunk(chunk))
-        return np.frombuffer(b"".join(out), "<i4")
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: marks become spaces, bytes are put together, the first space goes."""
@@ -262,13 +360,10 @@ def tokenize(docs: DataFrame, model_path: str) -> DataFrame:
             # a batch's ids go out in parts, so that long texts do not add up
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                ids, same, raw = [], [], []
-                for text in part.column(1):
-                    text = text.as_py()
-                    found = t.encode(text)
-                    ids.append(found)
-                    raw.append(int(is_byte[found].sum()))
-                    same.append(t.decode(found.tolist()) == (text or ""))
+                texts = part.column(1).to_pylist()
+                ids = t.encode_all(texts)
+                raw = [int(is_byte[found].sum()) for found in ids]
+                same = [t.decode(found.tolist()) == (text or "") for found, text in zip(ids, texts, strict=True)]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 flat = pa.array(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(np.int32))
