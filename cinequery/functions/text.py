@@ -38,10 +38,23 @@ def _folding() -> tuple[str, str]:
 _FOLD = _folding()
 
 
+_TABLE = str.maketrans(*_FOLD)
+
+
+def unmarked(text: Column | str) -> Column:
+    """Lower case without marks that stand apart."""
+    return F.regexp_replace(F.lower(text), r"\p{Mn}", "")
+
+
+def folded(text: str) -> str:
+    """`normalize` of a text from `unmarked`, in Python."""
+    return text if text.isascii() else text.translate(_TABLE)
+
+
 def normalize(text: Column | str) -> Column:
     """Lower case without accents."""
-    c = F.col(text) if isinstance(text, str) else text
-    return F.translate(F.regexp_replace(F.lower(c), r"\p{Mn}", ""), *_FOLD)
+    plain = F.octet_length(text) == F.char_length(text)  # nothing to fold; translating costs more than all else
+    return F.when(plain, F.lower(text)).otherwise(F.translate(unmarked(text), *_FOLD))
 
 
 def squeezed(text: Column | str) -> Column:
