@@ -164,15 +164,16 @@ def merged(results: DataFrame) -> DataFrame:
     return results.groupBy("query_id", "video_id", "keyframe_number").agg(F.first("frame_id").alias("frame_id"), F.coalesce(F.min_by("title", titled), F.lit("")).alias("title"), labels.alias("labels"), *best)
 
 
-def text_evidence(records: DataFrame, mapping: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
+def text_evidence(records: DataFrame, places: DataFrame, mapping: DataFrame, queries: DataFrame, top_k: int) -> DataFrame:
     """Text hits of queries (query_id, query) as keyframes: (query_id, video_id, keyframe_number, frame_id, ocr, ocr_quality, ocr_text).
 
-    `records` are (doc, video_id, keyframe_number, text, schema, quality); hits
-    without a mapped keyframe are left out. Quality counts in the hit's score
-    and once more in its worth as evidence.
+    `records` are (doc, text, schema, quality), `places` their (doc, video_id,
+    keyframe_number); hits without a mapped keyframe are left out. Only hits
+    meet their texts and places. Quality counts in the hit's score and once
+    more in its worth as evidence.
     """
     hits = bm25.ocr_search(records.select("doc", "text", "quality"), queries, max(200, min(4 * top_k, 400)))
-    rows = hits.select("query_id", "doc", "score", "quality").join(records.select("doc", "video_id", "keyframe_number", "text", "schema"), "doc")
+    rows = hits.select("query_id", "doc", "score", "quality").join(records.select("doc", "text", "schema"), "doc").join(places.select("doc", "video_id", "keyframe_number"), "doc")
     rows = rows.join(mapping.select("video_id", "keyframe_number", "frame_id"), ["video_id", "keyframe_number"])
     text = preprocess.trusted_text("text", "quality", "schema")
     return rows.select("query_id", "video_id", "keyframe_number", "frame_id", (F.col("score") * F.col("quality")).alias("ocr"), F.col("quality").alias("ocr_quality"), text.alias("ocr_text"))
@@ -203,7 +204,7 @@ def adaptive(rows: DataFrame, analysis: DataFrame) -> DataFrame:
     return rows.withColumn("score", RETRIEVAL_SHARE * F.col("_r") + SUPPORT_SHARE * s).drop("_r", "_v", "w")
 
 
-def candidates(queries: DataFrame, encode: Callable[[DataFrame], DataFrame], frames: DataFrame, mapping: DataFrame, metadata: DataFrame, objects: DataFrame, records: DataFrame, options: Options) -> DataFrame:
+def candidates(queries: DataFrame, encode: Callable[[DataFrame], DataFrame], frames: DataFrame, mapping: DataFrame, metadata: DataFrame, objects: DataFrame, records: DataFrame, places: DataFrame, options: Options) -> DataFrame:
     """All candidates of queries (query_id long, query) with every score, fused. `encode` adds qvec to rows (query_id, source, place, query, ..)."""
     analysis = analysed(queries)
     searches = encode(source_queries(analysis)).withColumn("search", F.col("query_id") * len(SOURCES) + F.col("place"))
@@ -211,11 +212,11 @@ def candidates(queries: DataFrame, encode: Callable[[DataFrame], DataFrame], fra
     found = feature_search(one, frames, mapping, metadata, objects, options).withColumnRenamed("query_id", "search")
     named = found.withColumn("query_id", F.floor(F.col("search") / len(SOURCES))).withColumn("place", F.col("search") % len(SOURCES))
     asked = analysis.select("query_id", F.col("texts.ocr").alias("query")).filter("query != ''")
-    text = text_evidence(records, mapping, asked, options.top_k)
+    text = text_evidence(records, places, mapping, asked, options.top_k)
     return adaptive(joined(merged(named), text), analysis)
 
 
-def known_item_search(queries: DataFrame, encode: Callable[[DataFrame], DataFrame], frames: DataFrame, mapping: DataFrame, metadata: DataFrame, objects: DataFrame, records: DataFrame, options: Options) -> DataFrame:
+def known_item_search(queries: DataFrame, encode: Callable[[DataFrame], DataFrame], frames: DataFrame, mapping: DataFrame, metadata: DataFrame, objects: DataFrame, records: DataFrame, places: DataFrame, options: Options) -> DataFrame:
     """Ranked answers of every query: sources are searched apart, merged, joined with text, fused and thinned out in time."""
-    rows = candidates(queries, encode, frames, mapping, metadata, objects, records, options)
+    rows = candidates(queries, encode, frames, mapping, metadata, objects, records, places, options)
     return _diverse(rows, "score", options)

@@ -586,8 +586,8 @@ KIS_SQL = f"""{SOURCES_SQL}, {ENGINE_TABLES},
 
 
 def item_tables(spark: SparkSession, d: str) -> tuple:
-    records = tables.ocr(spark, d).withColumn("quality", preprocess.legacy_quality("text", "schema"))
-    return tables.workload(spark, d), lambda s: tables.stub_vectors(spark, d, s), *engine_tables(spark, d), records, OPTIONS
+    records = tables.records(spark, d).withColumn("quality", preprocess.legacy_quality("text", "schema"))
+    return tables.workload(spark, d), lambda s: tables.stub_vectors(spark, d, s), *engine_tables(spark, d), records, tables.places(spark, d), OPTIONS
 
 
 @query(f"WITH RECURSIVE {KIS_SQL} SELECT query_id, video_id, keyframe_number, frame_id, title, round(retrieval, 6) AS retrieval, round(score, 6) AS score, sha256(ocr_text) AS ocr_sha256 FROM fused")

@@ -23,13 +23,11 @@ def query_vectors(spark: SparkSession, sf_dir: str, ids: list[int]) -> DataFrame
     return load(spark, sf_dir, "embeddings").filter(F.col("vec_id").isin(ids)).select(place.cast("int").alias("query_id"), F.col("embedding").alias("qvec"))
 
 
-def ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(video_id, doc, keyframe_number, text, schema)"""
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc, video_id, keyframe_number): where each text record stands."""
     d = load(spark, sf_dir, "documents")
     place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    keys = d.select("doc_id", F.col("source").alias("video_id"), place.cast("long").alias("keyframe_number"))  # texts stay out of the window
-    d = d.select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, 1).otherwise(2).alias("schema"))
-    return d.join(keys, "doc_id").select("video_id", F.col("doc_id").alias("doc"), "keyframe_number", "text", "schema")
+    return d.select(F.col("doc_id").alias("doc"), F.col("source").alias("video_id"), place.cast("long").alias("keyframe_number"))
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cinequery.functions import text
-from cinequery.operators import bm25, preprocess
+from cinequery.operators import bm25, preprocess, search
 
 
 def plain_search(docs, queries, limit):
@@ -83,3 +83,11 @@ def test_folding_moves_no_word_edge(spark):
 def test_quality_needs_no_collapsed_space(spark):
     docs = spark.createDataFrame([("Nguy \n cơ,\tmiền  BẮC",), ("  thời\t\ttiết khu   vực bắc bộ ",), ("cảnh\nbáo sạt lở nguy hiểm miền bắc khu vực",)], "t string").withColumn("s", F.lit(1))
     assert [r[0] for r in docs.select(preprocess.legacy_quality("t", "s")).collect()] == [0.12, 0.05, 1.0]
+
+
+def test_only_hits_meet_their_places(spark):
+    records = spark.createDataFrame([(i, "red door" if i < 3 else "hat", 2, 1.0) for i in range(9)], "doc long, text string, schema int, quality double")
+    places = spark.createDataFrame([(i, "v", 10 + i) for i in range(9)], "doc long, video_id string, keyframe_number long")
+    mapping = spark.createDataFrame([("v", 10, 100), ("v", 12, 120)], "video_id string, keyframe_number long, frame_id long")
+    got = search.text_evidence(records, places, mapping, spark.createDataFrame([(5, "red door")], "query_id long, query string"), 50).collect()
+    assert sorted((r.query_id, r.video_id, r.keyframe_number, r.frame_id, r.ocr, r.ocr_text) for r in got) == [(5, "v", 10, 100, 1.0, "red door"), (5, "v", 12, 120, 1.0, "red door")]
